@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,9 +17,13 @@ from cairn.llm import common as C
 
 #: Labelled rows that a model is fitted on at most, the ones with the smallest hashes.
 FIT_ROWS = 12_000
-#: Words that a model keeps at most, and documents of the fit that must hold a word.
-MAX_WORDS = 20_000
-MIN_DOCS = 5
+#: Features that a model keeps at most, and documents of the fit that must hold one.
+MAX_FEATURES = 30_000
+MIN_DOCS = 8
+#: Lengths in characters of the word beginnings that are features beside whole words.
+BEGINNINGS = (4, 5, 6)
+#: Saturation of counts, and the number of words at which length counts as usual.
+SATURATION, USUAL_WORDS = 1.0, 300.0
 
 
 @dataclass
@@ -31,8 +37,27 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x[:, None] - self.theta[None, :], -40, 40)))
 
 
-def word_set(text: str | None, memo: C.WordHash) -> np.ndarray:
-    return np.unique(memo.of(C.plain_words(text)))
+def keys_of(word: bytes) -> list[int]:
+    """Hashes of a word's features: itself and its beginnings, where it is longer."""
+    text = word.decode("utf-8", "replace")
+    parts = [word, *(b"^" + text[:n].encode() for n in BEGINNINGS if len(text) > n)]
+    return [xxhash.xxh3_64_intdigest(p) for p in parts]
+
+
+def weight_of_count(count, n_words):
+    """Between 0 and 1: grows with the count, the slower the longer the text."""
+    return count / (count + SATURATION * (0.5 + n_words / USUAL_WORDS))
+
+
+def feature_values(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct feature hashes of a text, ascending, and their values."""
+    words = C.plain_words(text)
+    count: Counter = Counter()
+    for word, n in Counter(words).items():
+        for key in keys_of(word):
+            count[key] += n
+    keys = np.array(sorted(count), np.uint64)
+    return keys, weight_of_count(np.array([count[k] for k in keys.tolist()], float), len(words))
 
 
 def _theta(raw: np.ndarray) -> np.ndarray:
@@ -40,23 +65,23 @@ def _theta(raw: np.ndarray) -> np.ndarray:
     return np.concatenate([raw[:1], raw[0] + np.cumsum(np.exp(raw[1:]))]) if len(raw) else raw
 
 
-def fit(rows: list[np.ndarray], grade: np.ndarray, grades: int, steps: int = 300, rate: float = 0.05, decay: float = 2e-3) -> Model:
+def fit(rows: list[np.ndarray], values: list[np.ndarray], grade: np.ndarray, grades: int, steps: int = 300, rate: float = 0.1, decay: float = 4e-4) -> Model:
     """Ordinal logistic regression by proximal Adam: the sum over thresholds of the log losses of [grade > j].
 
-    Features are the presence of words, kept if at least MIN_DOCS fitted documents hold them, the most frequent first up
-    to MAX_WORDS; decay is an L1 penalty, which leaves weight only on words that tell.
+    rows, values: feature hashes and values of each document. A feature is kept if at least MIN_DOCS fitted documents hold
+    it, the most frequent first up to MAX_FEATURES; decay is an L1 penalty, which leaves weight only on what tells.
     """
     if grades < 2 or not len(rows):
         return Model({}, np.full(max(0, grades - 1), 0.0))
     words, back = np.unique(np.concatenate(rows), return_inverse=True)
     n_docs = np.bincount(back, minlength=len(words))
     keep = np.flatnonzero(n_docs >= min(MIN_DOCS, len(rows)))
-    keep = keep[np.lexsort((words[keep], -n_docs[keep]))][:MAX_WORDS]
+    keep = keep[np.lexsort((words[keep], -n_docs[keep]))][:MAX_FEATURES]
     column = np.full(len(words), -1)
     column[keep] = np.arange(len(keep))
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    col = column[back]
-    doc, col = doc[col >= 0], col[col >= 0]
+    col, val = column[back], np.concatenate(values)
+    doc, val, col = doc[col >= 0], val[col >= 0], col[col >= 0]
     target = (grade[:, None] > np.arange(grades - 1)[None, :]).astype(float)
     share = np.clip(target.mean(0), 1e-4, 1 - 1e-4)
     start = np.log((1 - share) / share)
@@ -65,12 +90,12 @@ def fit(rows: list[np.ndarray], grade: np.ndarray, grades: int, steps: int = 300
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, raw)]
     n = len(rows)
     for step in range(1, steps + 1):
-        score = np.bincount(doc, weights=w[col], minlength=n)
+        score = np.bincount(doc, weights=w[col] * val, minlength=n)
         theta = _theta(raw)
         err = (1 / (1 + np.exp(-np.clip(score[:, None] - theta, -40, 40))) - target) / n
         g_theta = -err.sum(0)
         g_raw = np.concatenate([[g_theta.sum()], np.exp(raw[1:]) * np.cumsum(g_theta[::-1])[::-1][1:]])
-        g_w = np.bincount(col, weights=err.sum(1)[doc], minlength=len(w))
+        g_w = np.bincount(col, weights=err.sum(1)[doc] * val, minlength=len(w))
         moved = []
         for value, g, st in ((w, g_w, state[0]), (raw, g_raw, state[1])):
             st[0] = 0.9 * st[0] + 0.1 * g
@@ -83,29 +108,37 @@ def fit(rows: list[np.ndarray], grade: np.ndarray, grades: int, steps: int = 300
     return Model(dict(zip(words[keep[told]].tolist(), w[told].tolist())), _theta(raw))
 
 
-def _word_rows(batches):
-    memo = C.WordHash()
+def _feature_rows(batches):
     for batch in C.chunks(batches):
-        sets = [word_set(t, memo) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), C.ragged(C.signed(np.concatenate(sets)), [len(s) for s in sets])], names=["doc_id", "y", "x"])
+        rows = [feature_values(t) for t in batch.column("text").to_pylist()]
+        sizes = [len(k) for k, _ in rows]
+        keys = C.ragged(C.signed(np.concatenate([k for k, _ in rows])), sizes)
+        values = pa.ListArray.from_arrays(keys.offsets, pa.array(np.concatenate([v for _, v in rows]), pa.float64()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), keys, values], names=["doc_id", "y", "x", "v"])
+
+
+class Known(dict):
+    """word -> the features of it that a model gives weight to; most words have none."""
+
+    def __init__(self, weights: dict[int, float]):
+        self.weights = weights
+
+    def __missing__(self, word: bytes) -> tuple:
+        if len(self) > C.MEMO_WORDS:
+            self.clear()
+        found = self[word] = tuple(k for k in keys_of(word) if k in self.weights)
+        return found
 
 
 def _score_rows(batches, shared):
     model = shared.value
-    by_word: dict[bytes, float] = {}
-    known = model.weights
-    import xxhash
-
-    def weight(word: bytes) -> float:
-        if len(by_word) > C.MEMO_WORDS:
-            by_word.clear()
-        w = by_word.get(word)
-        if w is None:
-            w = by_word[word] = known.get(xxhash.xxh3_64_intdigest(word), 0.0)
-        return w
-
+    known = Known(model.weights)
     for batch in C.chunks(batches):
-        x = np.array([sum(map(weight, set(C.plain_words(t)))) for t in batch.column("text").to_pylist()])
+        x = np.zeros(batch.num_rows)
+        for i, text in enumerate(batch.column("text").to_pylist()):
+            words = C.plain_words(text)
+            count = Counter(k for keys in map(known.__getitem__, words) if keys for k in keys)
+            x[i] = sum(model.weights[k] * weight_of_count(n, len(words)) for k, n in count.items())
         above = model.above(x)
         severity = above.sum(1)
         grade = (above >= 0.5).sum(1)
@@ -129,13 +162,15 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", fit_rows: i
         known = known.where(held_out_remainder() != 0)
     known = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    got = rows.mapInArrow(_word_rows, "doc_id long, y int, x array<long>").limit(4 * fit_rows).toArrow().sort_by("doc_id")
+    rows = rows.mapInArrow(_feature_rows, "doc_id long, y int, x array<long>, v array<double>")
+    got = rows.limit(4 * fit_rows).toArrow().sort_by("doc_id")
     y = got.column("y").to_numpy()
     x = [np.asarray(v.values.to_numpy(zero_copy_only=False)).view(np.uint64) for v in got.column("x")] if got.num_rows else []
-    return fit(x, y, max(2, int(y.max(initial=1)) + 1))
+    v = [np.asarray(v.values.to_numpy(zero_copy_only=False)) for v in got.column("v")] if got.num_rows else []
+    return fit(x, v, y, max(2, int(y.max(initial=1)) + 1))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.4) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, expected_severity, grade, score, predicted), one row for each input row.
 
     expected_severity is the sum over thresholds of P(grade > j), 0 to the highest grade; grade counts the thresholds
