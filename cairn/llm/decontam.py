@@ -180,5 +180,5 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, percent: int
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs without those that hold a passage of an item; the same columns, repeated rows kept or dropped together."""
-    bad = C.stash(contaminated(docs, items, width, percent).select(F.col("rk").alias("_rk")).distinct())
-    return docs.withColumn("_rk", C.row_key("doc_id", "text")).join(C.small(bad), "_rk", "left_anti").drop("_rk")
+    bad = C.stash(contaminated(docs, items, width, percent).select(F.col("rk").alias("_cairn_rk")).distinct())
+    return docs.withColumn("_cairn_rk", C.row_key("doc_id", "text")).join(C.small(bad), "_cairn_rk", "left_anti").drop("_cairn_rk")

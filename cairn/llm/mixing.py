@@ -75,8 +75,7 @@ def mix_counts(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """docs with each row as many times as mix_counts says; same columns. Sources without words keep none of their rows."""
-    plan = targets(docs.select("source", word_count().alias("size"))).select(F.col("source").alias("_s"), "source_size", "target")
-    plan = plan.withColumnsRenamed({"source_size": "_n", "target": "_t"})
-    times = copies(F.col("_n"), F.col("_t"), uniform(F.col("doc_id"), seed=seed))
-    joined = docs.join(C.small(plan), F.col("source").eqNullSafe(F.col("_s")))
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)
+    plan = targets(docs.select("source", word_count().alias("size"))).select(F.col("source").alias("_cairn_s"), F.col("source_size").alias("_cairn_n"), F.col("target").alias("_cairn_t"))
+    times = copies(F.col("_cairn_n"), F.col("_cairn_t"), uniform(F.col("doc_id"), seed=seed))
+    joined = docs.join(C.small(plan), F.col("source").eqNullSafe(F.col("_cairn_s")))
+    return joined.withColumn("_cairn_copy", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)

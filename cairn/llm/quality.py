@@ -9,12 +9,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.llm import common as C
 
 #: Labelled rows that a model is fitted on at most, the ones with the smallest hashes.
 FIT_ROWS = 12_000
 THRESHOLD = 0.3
+SCORE = "_cairn_score"
 #: Kinds of bytes: other control, upper, lower, digit, space, line feed, punctuation, non-ASCII.
 _KIND = np.array(
     [1 if 65 <= c <= 90 else 2 if 97 <= c <= 122 else 3 if 48 <= c <= 57 else 4 if c in (32, 9, 13) else 5 if c == 10 else 7 if c > 127 else 6 if c > 32 and c != 127 else 0 for c in range(256)], np.uint8
@@ -116,7 +118,7 @@ def _score_rows(batches, shared):
     model = shared.value
     for batch in C.chunks(batches):
         x = np.stack([features(t) for t in batch.column("text").to_pylist()])
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns)), pa.array(model.score(x))], names=[*batch.schema.names, "score"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns)), pa.array(model.score(x))], names=[*batch.schema.names, SCORE])
 
 
 def held_out_remainder():
@@ -146,12 +148,10 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs plus score: how likely the whole text is of quality 1. Null and empty texts get the score of no features."""
+    """docs plus a column SCORE: how likely the whole text is of quality 1. Null and empty texts get the score of no
+    features."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("score")
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(SCORE, T.DoubleType())])
     return docs.mapInArrow(partial(_score_rows, shared=shared), schema)
 
 
@@ -163,10 +163,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     rows get equal scores; texts of any length are read whole. Empty tables give no rows.
     """
     rows = score(docs.select("doc_id", "text"), train(docs, labels))
-    return rows.select("doc_id", (held_out_remainder() == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return rows.select("doc_id", (held_out_remainder() == 0).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those whose score is below the threshold; the same columns."""
     columns = docs.columns
-    return score(docs, train(docs, labels)).where(F.col("score") >= threshold).select(*columns)
+    return score(docs, train(docs, labels)).where(F.col(SCORE) >= threshold).select(*columns)
