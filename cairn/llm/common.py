@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -39,11 +40,26 @@ def scratch(spark: SparkSession) -> str:
 
 
 def stash(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and returns a reader of it: lineage ends there and lost executors lose nothing."""
+    """Writes df to the shared folder and returns a reader of it: lineage ends there and lost executors lose nothing.
+
+    What earlier steps shuffled is garbage from then on; collecting it lets Spark's cleaner delete those files.
+    """
     spark = df.sparkSession
     path = scratch(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    gc.collect()
+    spark._jvm.System.gc()
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stashed tables that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -70,14 +86,14 @@ def global_positions(df: DataFrame, order: list[str], within: str | None = None,
     group = [within] if within else []
     keys = [F.col(k).asc_nulls_first() for k in group + order]
     amount = F.col(value) if value else F.lit(1)
-    parts = stash(df.repartitionByRange(*keys).withColumn("_pid", F.spark_partition_id()))
-    before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    bases = parts.groupBy("_pid", *group).agg(F.sum(amount).cast("long").alias("_n"))
-    bases = bases.select("_pid", *group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_pid", *group).orderBy(*[F.col(k).asc_nulls_first() for k in order]).rowsBetween(Window.unboundedPreceding, -1)
-    run = parts.withColumn("_run", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
-    out = run.join(F.broadcast(bases), ["_pid", *group]) if not group else run.join(F.broadcast(bases), (run["_pid"] == bases["_pid"]) & run[within].eqNullSafe(bases[within])).drop(bases["_pid"]).drop(bases[within])
-    return out.withColumn(name, (F.col("_base") + F.col("_run")).cast("long")).drop("_pid", "_base", "_run")
+    parts = stash(df.repartitionByRange(*keys).withColumn("_cairn_pid", F.spark_partition_id()))
+    before = Window.partitionBy(*group).orderBy("_cairn_pid").rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.groupBy("_cairn_pid", *group).agg(F.sum(amount).cast("long").alias("_cairn_n"))
+    bases = bases.select("_cairn_pid", *group, F.coalesce(F.sum("_cairn_n").over(before), F.lit(0)).alias("_cairn_base"))
+    inside = Window.partitionBy("_cairn_pid", *group).orderBy(*[F.col(k).asc_nulls_first() for k in order]).rowsBetween(Window.unboundedPreceding, -1)
+    run = parts.withColumn("_cairn_run", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
+    out = run.join(F.broadcast(bases), ["_cairn_pid", *group]) if not group else run.join(F.broadcast(bases), (run["_cairn_pid"] == bases["_cairn_pid"]) & run[within].eqNullSafe(bases[within])).drop(bases["_cairn_pid"]).drop(bases[within])
+    return out.withColumn(name, (F.col("_cairn_base") + F.col("_cairn_run")).cast("long")).drop("_cairn_pid", "_cairn_base", "_cairn_run")
 
 
 def encode(text: str | None) -> bytes:
@@ -89,6 +105,10 @@ def space_words(text: str | None) -> list[bytes]:
     return encode(text).split()
 
 
+def space_words_of(raw: bytes) -> list[bytes]:
+    return raw.split()
+
+
 def lower_space_words(text: str | None) -> list[bytes]:
     return encode(text).lower().split()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import stash
+from cairn.llm.common import discard, stash
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        edges = stash(small.union(least.select("a", F.col("m").alias("b"))).distinct())
+        used, edges = edges, stash(small.union(least.select("a", F.col("m").alias("b"))).distinct())
+        discard(used, large)
         before, state = state, _state(edges)
         if state == before:
             break

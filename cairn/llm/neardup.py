@@ -12,7 +12,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import common as C
@@ -81,19 +81,75 @@ def _full_sets(batches, k: int):
         yield pa.RecordBatch.from_arrays([batch.column("node"), C.ragged(C.signed(flat), [len(s) for s in sets])], names=["node", "s"])
 
 
-def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _sets_of(ids: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(node, s): the full sets of the nodes in ids(node), from the text of one document each."""
     need = C.stash(reps.select("node", "rk").join(ids, "node", "left_semi"))
-    texts = docs.join(C.small(need), "rk")
-    sets = C.stash(texts.select("node", "text").mapInArrow(partial(_full_sets, k=k), "node long, s array<long>"))
-    sets = sets.dropDuplicates(["node"])
+    texts = docs.join(C.small(need), "rk").select("node", "text")
+    sets = C.stash(texts.mapInArrow(partial(_full_sets, k=k), "node long, s array<long>"))
+    C.discard(need)
+    return sets
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    sets = sets.dropDuplicates(["node"])  # repeated rows give a node twice
     a = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
     b = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return pairs.join(a, "a").join(b, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def _across(member: DataFrame, labels: DataFrame) -> DataFrame:
+    """Bucket members with their component's label, of the buckets that hold several components."""
+    tagged = member.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = tagged.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    return tagged.join(mixed, "key", "left_semi")
+
+
+def _possible(percent: int) -> Column:
+    """Whether members x (n, own) and y (m, other) of a bucket can be similar enough: of x's n shingles, `own` are in no
+    other member of any such bucket, so the intersection is at most the smaller rest."""
+    most = F.least(F.col("n") - F.col("own"), F.col("m") - F.col("other"))
+    return 100 * most >= percent * (F.col("n") + F.col("m") - most)
+
+
+def _remaining_links(member: DataFrame, labels: DataFrame, edges: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Labels after all links between different components of a bucket have been found.
+
+    Shingles that just one member holds bound what it can share with any other. Members that can't reach the threshold
+    with anyone go; the others are compared with the member of their bucket that has the fewest such shingles, the one
+    nearest to what the bucket has in common. What then is still apart is compared pair by pair where the bounds allow a
+    link, but only members outside the component of that pivot with the rest of their bucket.
+    """
+    rest = C.stash(_across(member, labels))
+    if rest.isEmpty():
+        return labels
+    sets = _sets_of(rest.select("node").distinct(), reps, docs, k)
+    single = sets.dropDuplicates(["node"]).select("node", F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
+    own = single.groupBy("node").agg(F.count("*").alias("own"))
+    live = rest.select("key", "node", "n").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    live = C.stash(live.where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")))
+    C.discard(rest)
+    for last in (False, True):
+        tagged = C.stash(_across(live, labels))
+        pivot = tagged.groupBy("key").agg(F.min(F.struct("own", "node", "n", "label")).alias("p"))
+        if last:
+            pivot = pivot.select("key", F.col("p.label").alias("main"))
+            x = tagged.join(pivot, "key").where("label <> main").select("key", "node", "n", "own", "label")
+            y = tagged.select("key", F.col("node").alias("with"), F.col("n").alias("m"), F.col("own").alias("other"), F.col("label").alias("far"))
+            near = x.join(y, "key").where((F.col("label") != F.col("far")) & _possible(percent))
+        else:
+            pivot = pivot.select("key", F.col("p.node").alias("with"), F.col("p.n").alias("m"), F.col("p.own").alias("other"), F.col("p.label").alias("far"))
+            near = tagged.join(pivot, "key").where((F.col("label") != F.col("far")) & _possible(percent))
+        pairs = C.stash(near.select(F.least("node", "with").alias("a"), F.greatest("node", "with").alias("b")).distinct())
+        found = C.stash(_verify(pairs, sets, percent))
+        if not found.isEmpty():
+            edges = edges.union(found)
+            labels = C.stash(components(edges))
+        C.discard(tagged, pairs)
+    return labels
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = ROWS_PER_BAND, bands: int | None = None) -> DataFrame:
     """docs(doc_id, text, ...) -> (rk, doc_id, n_shingles, component_id, kept), one row for each input row.
 
@@ -101,7 +157,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     documents are linked if 100 * intersection >= percent * union. component_id is the smallest doc_id reachable, kept
     says that it is the row's own. Equal sets meet by a fingerprint first, so a group of copies is one node however
     large. Nodes of a bucket are compared with a few pivots; in buckets that still hold several components, all pairs
-    across components are compared, so no candidate link between different components is lost.
+    across components that exact bounds allow are compared, so no candidate link between components is lost.
 
     Null text and text without words: n_shingles 0, linked with nothing. Null doc_id: the row takes no part, its
     component_id is null and kept is true. Rows that repeat a doc_id each count as a document. Other columns are ignored.
@@ -127,22 +183,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
         .distinct()
     )
     pairs = C.stash(pairs)
-    edges = C.stash(_verify(pairs, reps, docs, k, percent))
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), reps, docs, k)
+    edges = C.stash(_verify(pairs, sets, percent))
+    C.discard(sets, pairs)
     labels = C.stash(components(edges))
-
-    tagged = member.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = tagged.groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("c > 2 and lo < hi").select("key")
-    rest = C.stash(tagged.join(mixed, "key", "left_semi"))
-    if not rest.isEmpty():
-        x = rest.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-        y = rest.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-        more = x.join(y, "key").where(
-            (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        )
-        more = C.stash(more.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
-        found = C.stash(_verify(more, reps, docs, k, percent))
-        if not found.isEmpty():
-            labels = C.stash(components(edges.union(found)))
+    labels = _remaining_links(member, labels, edges, reps, docs, k, percent)
     node = reps.select("node", "first_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = node.groupBy("label").agg(F.min("first_id").alias("component_id"))
     node = node.join(smallest, "label").select("node", "component_id")
@@ -156,5 +201,5 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs without the rows whose group has a smaller doc_id; of rows that repeat a doc_id and text one stays."""
     found = near_duplicates(docs, k, percent).where("kept").select("rk").distinct()
-    keyed = docs.withColumn("_rk", C.row_key("doc_id", "text"))
-    return keyed.join(C.small(found.select(F.col("rk").alias("_rk"))), "_rk", "left_semi").dropDuplicates(["_rk"]).drop("_rk")
+    keyed = docs.withColumn("_cairn_rk", C.row_key("doc_id", "text"))
+    return keyed.join(C.small(found.select(F.col("rk").alias("_cairn_rk"))), "_cairn_rk", "left_semi").dropDuplicates(["_cairn_rk"]).drop("_cairn_rk")
