@@ -5,9 +5,9 @@
    recurs can hold a recurring window. Units are a fifteenth of the words.
 2. Recurring passages are confirmed by counting: a unit seen twice recurs as a whole; where different units share a
    minimiser, their windows are counted.
-3. The confirmed passages of a unit, as the windows that span them, are the patterns. Documents are dealt into shards of
-   bounded size; each shard gets just the patterns whose minimiser occurs in its documents, compiles them into an
-   Aho-Corasick automaton over words, and streams all its documents through it, which finds every occurrence.
+3. Documents are dealt into shards of bounded size. Each shard gets the hashes of the confirmed units that occur in it,
+   reads the passages off its own text, compiles them (as windows that tile them) into an Aho-Corasick automaton over
+   words, and streams all its documents through it, which finds every occurrence.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from cairn.llm import common as C
 
-#: Patterns in a shard, about: each takes one automaton node for each of its words.
-SHARD_PATTERNS = 15_000
+#: Bytes of text in a shard, about; a shard's documents and its automaton are held in memory.
+SHARD_BYTES = 6_000_000
 #: Code points that stand for words in an automaton; a shard with more distinct words compiles several automata.
 CODES = 1_000_000
 INVERSE = np.uint64(pow(int(C.GOLDEN), -1, 2**64))
@@ -93,43 +93,19 @@ def _units(batches, window: int, q: int):
         )
 
 
-def _unit_texts(batches, window: int):
-    names = ["seed", "unit", "n_win", "c", "u"]
-    for batch in batches:
-        for text, units in zip(batch.column("text"), batch.column("units")):
-            words, rows = C.space_words(text.as_py()), units.as_py()
-            texts = [b" ".join(words[r["start"] : r["start"] + r["n_win"] + window - 1]) for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], pa.int32() if n == "n_win" else pa.int64()) for n in names] + [pa.array(texts, pa.binary())], names=names + ["text"])
-
-
 def _windows(batches, window: int):
+    """The windows of the units that a document stands for."""
     memo = C.WordHash()
     for batch in batches:
-        hashes = [memo.of(t.split()) for t in batch.column("text").to_pylist()]
-        if not hashes:
-            continue
-        n_win = batch.column("n_win").to_numpy(zero_copy_only=False).astype(np.int64)
-        which = np.repeat(np.arange(len(n_win)), n_win)
-        idx = np.arange(len(which)) - np.repeat(np.cumsum(n_win) - n_win, n_win)
-        base = np.cumsum([0] + [len(h) for h in hashes])[:-1]
-        wh = RangeHash(np.concatenate(hashes)).of(base[which] + idx, window)
-        take = lambda name: batch.column(name).to_numpy(zero_copy_only=False)[which]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(take("unit")), pa.array(idx.astype(np.int32)), pa.array(C.signed(wh)), pa.array(take("c"))], names=["unit", "idx", "wh", "c"]
-        )
-
-
-def _patterns(batches, window: int):
-    for batch in batches:
-        seeds, texts = [], []
-        for seed, mask, n_win, text in zip(*(batch.column(c).to_pylist() for c in ("seed", "mask", "n_win", "text"))):
-            words = text.split()
-            on = [i for i in range(n_win) if mask >> i & 1]
-            spans = {i for i in on if i - 1 not in on} | {i for i in on if i + 1 not in on} if n_win <= window else on
-            for i in spans:
-                seeds.append(seed)
-                texts.append(b" ".join(words[i : i + window]))
-        yield pa.RecordBatch.from_arrays([pa.array(seeds, pa.int64()), pa.array(texts, pa.binary())], names=["seed", "text"])
+        for text, units in zip(batch.column("text"), batch.column("units")):
+            rows = units.as_py()
+            n_win = np.array([r["n_win"] for r in rows])
+            which = np.repeat(np.arange(len(rows)), n_win)
+            idx = np.arange(len(which)) - np.repeat(np.cumsum(n_win) - n_win, n_win)
+            first = np.array([r["start"] for r in rows])
+            wh = RangeHash(memo.of(C.space_words(text.as_py()))).of(first[which] + idx, window)
+            unit, c = (np.array([r[k] for r in rows], np.int64)[which] for k in ("unit", "c"))
+            yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(idx.astype(np.int32)), pa.array(C.signed(wh)), pa.array(c)], names=["unit", "idx", "wh", "c"])
 
 
 class PhraseAutomata:
@@ -143,8 +119,7 @@ class PhraseAutomata:
         self.codes: dict[bytes, str] = {}
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
 
-    def add(self, phrase: bytes) -> None:
-        words = phrase.split()
+    def add(self, words: list[bytes]) -> None:
         for w in words:
             if w not in self.codes:
                 code = len(self.codes) + 1
@@ -174,32 +149,79 @@ class PhraseAutomata:
         return np.cumsum(change)[:-1] > 0
 
 
-def _stream(batches, window: int):
-    """Rows sorted by (shard, kind): a shard's patterns (kind 0), then its documents (kind 1)."""
-    shard, automata, open_ = None, None, False
-    for batch in C.chunks(batches):
-        ids, n_words, n_removed, digests, texts = [], [], [], [], []
-        for s, kind, doc_id, text in zip(batch.column("shard").to_pylist(), batch.column("kind").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+class Shard:
+    """The documents of one shard and the confirmed units that occur in them."""
+
+    def __init__(self, window: int, q: int, memo: C.WordHash):
+        self.window, self.q, self.memo = window, q, memo
+        self.masks: dict[int, int] = {}
+        self.docs: list[tuple] = []
+
+    def _starts(self) -> dict[int, np.ndarray]:
+        """First words of the recurring windows of each document that has any."""
+        out: dict[int, list] = {}
+        keys = np.array(sorted(self.masks), np.int64)
+        masks = np.array([self.masks[k] for k in keys.tolist()], np.int64)
+        held, size, base = [], 0, 0
+        for i in range(len(self.docs) + 1):
+            if held and (i == len(self.docs) or size > C.CHUNK_BYTES):
+                ends = np.cumsum([len(h) for h in held], dtype=np.int64)
+                _, unit, doc, start, n_win = units_of(np.concatenate(held), ends, self.window, self.q)
+                unit = C.signed(unit)
+                at = np.minimum(np.searchsorted(keys, unit), len(keys) - 1)
+                for u in np.flatnonzero(keys[at] == unit):
+                    on = np.flatnonzero(masks[at[u]] >> np.arange(n_win[u]) & 1)
+                    out.setdefault(base + int(doc[u]), []).append(start[u] + on)
+                held, size, base = [], 0, i
+            if i < len(self.docs):
+                words = C.space_words_of(self.docs[i][1])
+                held.append(self.memo.of(words))
+                size += len(self.docs[i][1])
+        return {d: np.sort(np.concatenate(s)) for d, s in out.items()}
+
+    def run(self):
+        """One row a document: (doc_id, words, removed, digest, kept text)."""
+        automata, seen = PhraseAutomata(self.window), set()
+        for d, starts in (self._starts() if self.masks else {}).items():
+            words = C.space_words_of(self.docs[d][1])
+            runs = np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1)
+            for s in {int(x) for r in runs for x in (*range(r[0], r[-1], self.window), r[-1])}:
+                phrase = tuple(words[s : s + self.window])
+                if phrase not in seen:
+                    seen.add(phrase)
+                    automata.add(phrase)
+        del seen
+        automata.compile()
+        for doc_id, raw in self.docs:
+            words = C.space_words_of(raw)
+            hit = automata.covered(words) if automata.done and len(words) >= self.window else None
+            kept = words if hit is None else [w for w, gone in zip(words, hit) if not gone]
+            text = b" ".join(kept)
+            yield doc_id, len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest(), text
+
+
+def _result(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+    columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+    return pa.RecordBatch.from_arrays([*columns[:4], columns[4].cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+
+
+def _stream(batches, window: int, q: int):
+    """Rows sorted by (shard, kind): a shard's confirmed units (kind 0), then its documents (kind 1)."""
+    memo, shard, current = C.WordHash(), None, None
+    for batch in batches:
+        names = ("shard", "kind", "doc_id", "unit", "mask", "text")
+        for s, kind, doc_id, unit, mask, text in zip(*(batch.column(n).to_pylist() for n in names)):
             if s != shard:
-                shard, automata, open_ = s, PhraseAutomata(window), True
+                if current:
+                    yield _result(list(current.run()))
+                shard, current = s, Shard(window, q, memo)
             if kind == 0:
-                automata.add(text)
-                continue
-            if open_:
-                automata.compile()
-                open_ = False
-            words = text.split() if text else []
-            hit = automata.covered(words) if automata.done and len(words) >= window else None
-            kept = words if hit is None else [w for w, gone in zip(words, hit) if not gone]
-            ids.append(doc_id)
-            n_words.append(len(words))
-            n_removed.append(len(words) - len(kept))
-            texts.append(b" ".join(kept))
-            digests.append(hashlib.sha256(texts[-1]).hexdigest())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.binary()).cast(pa.string())],
-            names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
-        )
+                current.masks[unit] = mask
+            else:
+                current.docs.append((doc_id, text or b""))
+    if current:
+        yield _result(list(current.run()))
 
 
 def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
@@ -211,32 +233,33 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     string. Rows that repeat doc_id and text are one document each time they occur; null ids are allowed. Texts of less
     than a window stay whole. Other columns are ignored. window: 2 to 80.
     """
+    if not 2 <= window <= 80:
+        raise ValueError("window must be 2 to 80 words")
     q = max(1, window // 4)
     docs = docs.select(C.row_key("doc_id", "text").alias("rk"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    spots = C.stash(docs.select("rk", "text").mapInArrow(partial(_units, window=window, q=q), "seed long, unit long, rk long, start int, n_win int"))
+    every = C.stash(docs.select("rk", "text").mapInArrow(partial(_units, window=window, q=q), "seed long, unit long, rk long, start int, n_win int"))
+    twice = every.groupBy("seed").agg(F.count("*").alias("t")).where("t > 1").select("seed")
+    spots = C.stash(every.join(twice, "seed"))
+    C.discard(every)
     units = C.stash(spots.groupBy("seed", "unit", "n_win").agg(F.count("*").alias("c"), F.first("rk").alias("rk"), F.first("start").alias("start")))
-    seeds = units.groupBy("seed").agg(F.sum("c").alias("t"), F.count("*").alias("u")).where("t > 1").select("seed", "u")
-    recurring = units.join(seeds, "seed").groupBy("rk").agg(F.collect_list(F.struct("seed", "unit", "start", "n_win", "c", "u")).alias("units"))
-    texts = docs.select("rk", "text").dropDuplicates(["rk"]).join(recurring, "rk").select("text", "units")
-    held = C.stash(texts.mapInArrow(partial(_unit_texts, window=window), "seed long, unit long, n_win int, c long, u long, text binary"))
-
-    seen = C.stash(held.where("u > 1").select("unit", "n_win", "c", "text").mapInArrow(partial(_windows, window=window), "unit long, idx int, wh long, c long"))
-    twice = seen.groupBy("wh").agg(F.sum("c").alias("t")).where("t > 1").select("wh")
-    bit = F.expr("shiftleft(1L, idx)")
-    if window - q + 1 > 63:
-        raise ValueError("window must be at most 80 words")
-    masks = seen.join(twice, "wh").groupBy("unit").agg(F.bit_or(bit).alias("mask"))
-    whole = held.where("u = 1").select("seed", "n_win", "text", F.lit(-1).cast("long").alias("mask"))
-    part = held.where("u > 1").join(masks, "unit").select("seed", "n_win", "text", "mask")
-    patterns = C.stash(whole.union(part).mapInArrow(partial(_patterns, window=window), "seed long, text binary").distinct())
-
-    live = patterns.select("seed").distinct()
-    used = C.stash(spots.select("seed", "rk").join(live, "seed"))
-    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), used.count() * 2 // SHARD_PATTERNS + 1)
-    shard = F.pmod(F.col("rk"), F.lit(shards)).cast("int").alias("shard")
-    needed = used.select("seed", shard).distinct().join(patterns, "seed").select("shard", "text").distinct()
-    rows = needed.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), "text").union(
-        docs.select(shard, F.lit(1), "doc_id", F.col("text").cast("binary"))
+    seeds = units.groupBy("seed").agg(F.count("*").alias("u"))
+    units = C.stash(units.join(seeds, "seed").select("unit", "n_win", "c", "rk", "start", "u"))
+    stand = C.stash(units.where("u > 1").groupBy("rk").agg(F.collect_list(F.struct("unit", "start", "n_win", "c")).alias("units")))
+    texts = docs.select("rk", "text").join(C.small(stand.select("rk")), "rk", "left_semi").join(stand, "rk").select("text", "units")
+    several = texts.mapInArrow(partial(_windows, window=window), "unit long, idx int, wh long, c long")
+    seen = C.stash(several.groupBy("unit", "idx").agg(F.first("wh").alias("wh"), F.first("c").alias("c")))  # repeated rows give a unit twice
+    again = seen.groupBy("wh").agg(F.sum("c").alias("t")).where("t > 1").select("wh")
+    part = seen.join(again, "wh").groupBy("unit").agg(F.bit_or(F.expr("shiftleft(1L, idx)")).alias("mask"))
+    masks = C.stash(part.union(units.where("u = 1").select("unit", F.lit(-1).cast("long"))))  # one unit of a recurring seed recurs itself
+    C.discard(units, stand, seen)
+
+    size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // SHARD_BYTES + 1)
+    shard = F.pmod(F.xxhash64("rk", F.lit(1)), F.lit(shards)).cast("int").alias("shard")
+    needed = C.stash(spots.select(shard, "unit").distinct().join(masks, "unit"))
+    C.discard(spots, masks)
+    rows = needed.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), "unit", "mask", F.lit(None).cast("binary").alias("text")).union(
+        docs.select(shard, F.lit(1), "doc_id", F.lit(None).cast("long"), F.lit(None).cast("long"), F.col("text").cast("binary"))
     )
     rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "kind")
-    return rows.mapInArrow(partial(_stream, window=window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return rows.mapInArrow(partial(_stream, window=window, q=q), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
