@@ -23,6 +23,8 @@ ROWS_PER_BAND = 6
 MISS = 1e-5
 #: Bucket members are first compared with these members of their bucket: smallest ids after an xor with each.
 PIVOTS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x14057B7EF767814F)
+#: Members of a small bucket at most, and members that hold a shingle at most for it to count as rare in large ones.
+RARE = 32
 SEED = 20240229
 
 
@@ -107,8 +109,8 @@ def _across(member: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _possible(percent: int) -> Column:
-    """Whether members x (n, own) and y (m, other) of a bucket can be similar enough: of x's n shingles, `own` are in no
-    other member of any such bucket, so the intersection is at most the smaller rest."""
+    """Whether members x (n, own) and y (m, other) of a bucket that share no rare shingle can be similar enough: of x's n
+    shingles `own` are rare, so the intersection is at most the smaller rest."""
     most = F.least(F.col("n") - F.col("own"), F.col("m") - F.col("other"))
     return 100 * most >= percent * (F.col("n") + F.col("m") - most)
 
@@ -116,37 +118,58 @@ def _possible(percent: int) -> Column:
 def _remaining_links(member: DataFrame, labels: DataFrame, edges: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Labels after all links between different components of a bucket have been found.
 
-    Shingles that just one member holds bound what it can share with any other. Members that can't reach the threshold
-    with anyone go; the others are compared with the member of their bucket that has the fewest such shingles, the one
-    nearest to what the bucket has in common. What then is still apart is compared pair by pair where the bounds allow a
-    link, but only members outside the component of that pivot with the rest of their bucket.
+    Buckets of at most RARE members are compared pair by pair. In larger ones, a shingle is rare if at most RARE of their
+    members hold it. Members first meet the member of their bucket with the fewest rare shingles, the one nearest to what
+    the bucket has in common. What then is still apart either shares a rare shingle, and meets there, RARE partners at
+    most for each; or it does not, and then rare shingles bound what the two can share: only members outside the pivot's
+    component are held against their bucket, where the bound allows a link. Copies with edits of their own thus never
+    meet pair by pair, however many they are.
     """
-    rest = C.stash(_across(member, labels))
+    rest = C.stash(_across(member, labels).select("key", "node", "n"))
     if rest.isEmpty():
         return labels
     sets = _sets_of(rest.select("node").distinct(), reps, docs, k)
-    single = sets.dropDuplicates(["node"]).select("node", F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
-    own = single.groupBy("node").agg(F.count("*").alias("own"))
-    live = rest.select("key", "node", "n").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    large = rest.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > RARE).select("key")
+    big = C.stash(rest.join(large, "key", "left_semi"))
+    nodes = C.stash(big.groupBy("node").agg(F.first("n").alias("n")))
+    held = sets.dropDuplicates(["node"]).join(nodes, "node", "left_semi").select("node", F.explode("s").alias("x"))
+    few = held.groupBy("x").agg(F.count("*").alias("c")).where(F.col("c") <= RARE)
+    rare = C.stash(held.join(few, "x"))
+    own = rare.groupBy("node").agg(F.count("*").alias("own"))
+    live = big.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     live = C.stash(live.where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")))
-    C.discard(rest)
-    for last in (False, True):
-        tagged = C.stash(_across(live, labels))
-        pivot = tagged.groupBy("key").agg(F.min(F.struct("own", "node", "n", "label")).alias("p"))
-        if last:
-            pivot = pivot.select("key", F.col("p.label").alias("main"))
-            x = tagged.join(pivot, "key").where("label <> main").select("key", "node", "n", "own", "label")
-            y = tagged.select("key", F.col("node").alias("with"), F.col("n").alias("m"), F.col("own").alias("other"), F.col("label").alias("far"))
-            near = x.join(y, "key").where((F.col("label") != F.col("far")) & _possible(percent))
-        else:
-            pivot = pivot.select("key", F.col("p.node").alias("with"), F.col("p.n").alias("m"), F.col("p.own").alias("other"), F.col("p.label").alias("far"))
-            near = tagged.join(pivot, "key").where((F.col("label") != F.col("far")) & _possible(percent))
+
+    def check(near: DataFrame, edges: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
         pairs = C.stash(near.select(F.least("node", "with").alias("a"), F.greatest("node", "with").alias("b")).distinct())
         found = C.stash(_verify(pairs, sets, percent))
-        if not found.isEmpty():
-            edges = edges.union(found)
-            labels = C.stash(components(edges))
-        C.discard(tagged, pairs)
+        C.discard(pairs)
+        if found.isEmpty():
+            return edges, labels
+        edges = edges.union(found)
+        return edges, C.stash(components(edges))
+
+    def meet(rows: DataFrame, on: str) -> DataFrame:
+        """Pairs of rows(on, node, n) with the same value of on, of different components and near in size."""
+        rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        x, y = rows.select(on, "node", "n", "label"), rows.select(on, F.col("node").alias("with"), F.col("n").alias("m"), F.col("label").alias("far"))
+        fit = (F.col("label") != F.col("far")) & (F.col("node") < F.col("with")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+        return x.join(y, on).where(fit).select("node", "with")
+
+    if not big.isEmpty():
+        tagged = C.stash(_across(live, labels))
+        pivot = tagged.groupBy("key").agg(F.min(F.struct("own", "node", "label")).alias("p"))
+        pivot = pivot.select("key", F.col("p.node").alias("with"), F.col("p.label").alias("far"))
+        edges, labels = check(tagged.join(pivot, "key").where(F.col("label") != F.col("far")), edges, labels)
+        C.discard(tagged)
+    tagged = C.stash(_across(live, labels))
+    pivot = tagged.groupBy("key").agg(F.min(F.struct("own", "node", "label")).alias("p")).select("key", F.col("p.label").alias("main"))
+    x = tagged.join(pivot, "key").where("label <> main").select("key", "node", "n", "own", "label")
+    y = tagged.select("key", F.col("node").alias("with"), F.col("n").alias("m"), F.col("own").alias("other"), F.col("label").alias("far"))
+    near = x.join(y, "key").where((F.col("label") != F.col("far")) & _possible(percent)).select("node", "with")
+    near = near.union(meet(rare.where("c > 1").join(nodes, "node").select("x", "node", "n"), "x"))
+    near = near.union(meet(rest.join(large, "key", "left_anti"), "key"))
+    labels = check(near, edges, labels)[1]
+    C.discard(rest, big, rare, live, nodes, tagged, sets)
     return labels
 
 
