@@ -238,9 +238,9 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     q = max(1, window // 4)
     docs = docs.select(C.row_key("doc_id", "text").alias("rk"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     every = C.stash(docs.select("rk", "text").mapInArrow(partial(_units, window=window, q=q), "seed long, unit long, rk long, start int, n_win int"))
-    twice = every.groupBy("seed").agg(F.count("*").alias("t")).where("t > 1").select("seed")
+    twice = C.stash(every.groupBy("seed").agg(F.count("*").alias("t")).where("t > 1").select("seed"))  # written, so that a hot seed's side of the join can be split
     spots = C.stash(every.join(twice, "seed"))
-    C.discard(every)
+    C.discard(every, twice)
     units = C.stash(spots.groupBy("seed", "unit", "n_win").agg(F.count("*").alias("c"), F.first("rk").alias("rk"), F.first("start").alias("start")))
     seeds = units.groupBy("seed").agg(F.count("*").alias("u"))
     units = C.stash(units.join(seeds, "seed").select("unit", "n_win", "c", "rk", "start", "u"))
