@@ -89,6 +89,13 @@ class Items:
             self.classes.append((n, k, [i for i, _ in members], MultiIndex(prints), [Counter(s.tolist()) for _, s in members], shingles))
             table = self.table.setdefault(k, np.zeros(1 << TABLE_BITS, bool))
             table[shingles >> np.uint64(64 - TABLE_BITS)] = True
+        self.known = {k: np.unique(np.concatenate([c[5] for c in self.classes if c[1] == k])) for k in self.table}
+
+    def hits(self, k: int, s: np.ndarray) -> np.ndarray:
+        """Places of the shingles of width k that some item holds."""
+        maybe = np.flatnonzero(self.table[k][s >> np.uint64(64 - TABLE_BITS)])
+        known, values = self.known[k], s[maybe]
+        return maybe[known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values]
 
 
 def find(h: np.ndarray, items: Items, percent: int) -> list[tuple]:
@@ -100,12 +107,14 @@ def find(h: np.ndarray, items: Items, percent: int) -> list[tuple]:
             continue
         if k not in shingles:
             s = C.shingle_hashes(h, k)
-            shingles[k] = s, np.flatnonzero(items.table[k][s >> np.uint64(64 - TABLE_BITS)])
+            shingles[k] = s, items.hits(k, s)
         s, maybe = shingles[k]
         m = n - k + 1
-        hits = maybe[np.isin(s[maybe], own)]
         need = -(-percent * m // 100)
         size = min(m, len(s))
+        if len(maybe) < need:
+            continue
+        hits = maybe[np.isin(s[maybe], own)]
         if len(hits) < need:
             continue
         # Windows whose shingles are in items of this size often enough; others can't reach the threshold.
@@ -140,9 +149,10 @@ def _search(batches, shared, width: int, percent: int):
         ends = np.cumsum([len(h) for h in hashes])
         flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
         live: set[int] = set()
-        for k, table in items.table.items():
-            s = C.shingle_hashes(flat, k)
-            live.update(np.searchsorted(ends, np.flatnonzero(table[s >> np.uint64(64 - TABLE_BITS)]), side="right").tolist())
+        for k in items.table:
+            least = min(-(-percent * (n - k + 1) // 100) for n, width_, *_ in items.classes if width_ == k)
+            held = np.bincount(np.searchsorted(ends, items.hits(k, C.shingle_hashes(flat, k)), side="right"), minlength=len(hashes))
+            live.update(np.flatnonzero(held >= max(1, least)).tolist())
         rk, doc_id = batch.column("rk").to_pylist(), batch.column("doc_id").to_pylist()
         for d in sorted(live):
             rows += [(rk[d], doc_id[d], *found) for found in find(hashes[d], items, percent)]
