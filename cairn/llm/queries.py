@@ -43,9 +43,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    folder = C.scratch(spark)
-    manifest = tokens.write_tokens(C.table(spark, sf_dir, "documents"), folder, public_tokenizers.path(VOCABULARY), END_ID)
-    return tokens.read_tokens(manifest, folder)
+    folder, path = C.scratch(spark), public_tokenizers.path(VOCABULARY)
+    width = tokens.id_width(path)
+    manifest = tokens.write_tokens(C.table(spark, sf_dir, "documents"), folder, path, END_ID, width=width)
+    return tokens.read_tokens(manifest, folder, width)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

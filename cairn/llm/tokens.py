@@ -8,9 +8,10 @@ table with one row a part: its order, counts, and its base, the number of ids in
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -21,17 +22,22 @@ from pyspark.sql import functions as F
 from cairn.llm import common as C
 
 #: Pieces whose ids a worker remembers; twice as many are held at most.
-MEMO_PIECES = 300_000
+MEMO_PIECES = 400_000
 #: Stands for a null doc_id, which sorts first, in the document file.
 NULL_ID = -(2**63)
 
 
+#: A full stop or comma between a small letter and white space; tokenizers that split letters from the rest part it too.
+_STOP = re.compile(rb"(?<=[a-z])[.,](?=[ \n])")
+
+
 class PieceEncoder:
     """Encodes texts by the tokenizer, piece by piece between ASCII white space, and remembers the pieces' ids.
 
     Valid for tokenizers whose pre-tokenizer drops white space and never joins across it, so that a text's ids are the
     ids of its pieces one after another. With lower=True (a tokenizer that lower-cases), A-Z is lowered first so that
-    more pieces are alike, but not in texts that may hold a special token's string.
+    more pieces are alike, and stops are parted from words, but not in texts that may hold a special token's string.
+    lower=True also says that the tokenizer parts letters from other characters.
     """
 
     def __init__(self, path: str, lower: bool, width: int):
@@ -60,12 +66,18 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes."""
         raw = [t.encode() for t in texts]
-        split = [(r.lower() if self.lower and b"<|" not in r else r).split() for r in raw]
+        split = [(_STOP.sub(rb" \g<0>", r.lower()) if self.lower and b"<|" not in r else r).split() for r in raw]
         self.learn(set().union(*split) if split else set())
         get = self.young.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
 
+@cache
+def _encoder(path: str, lower: bool, width: int) -> PieceEncoder:
+    """One for each worker process, so that what it remembers serves all tasks that run there."""
+    return PieceEncoder(path, lower, width)
+
+
 def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
@@ -77,7 +89,7 @@ def _write(batches, folder: str, tokenizer: str, lower: bool, width: int, end_id
     name, files, counts, total, pid, first = uuid.uuid4().hex, None, 0, 0, 0, None
     for batch in C.chunks(batches):
         if encoder is None:
-            encoder = PieceEncoder(tokenizer, lower, width)
+            encoder = _encoder(tokenizer, lower, width)
             where.create_dir(root, recursive=True)
             files = [where.open_output_stream(f"{root}/{name}.{kind}") for kind in ("ids", "off", "doc")]
             files[1].write(np.zeros(1, "<u8").tobytes())
@@ -95,6 +107,13 @@ def _write(batches, folder: str, tokenizer: str, lower: bool, width: int, end_id
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((pid, pa.int32()), (name, pa.string()), (counts, pa.int64()), (total, pa.int64()))], names=["part", "name", "n_docs", "n_ids"])
 
 
+def id_width(tokenizer: str) -> int:
+    """Bytes that hold every id of a tokenizer: 2 or 4."""
+    from tokenizers import Tokenizer
+
+    return 2 if Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+
+
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, lower: bool = True, width: int = 4) -> DataFrame:
     """Encodes docs(doc_id, text, ...) into files below folder, in ascending doc_id order; returns the manifest.
 
