@@ -10,6 +10,8 @@ from cairn.functions.geometry import chebyshev, squared_norm
 
 #: Offsets below this do not count as neighbours where coincident points are excluded.
 COINCIDENT = 0.0001
+#: Query rows of a distance matrix that meet a partition of the search side at a time.
+QUERY_BLOCK = 4096
 
 
 def _within(radius: float, metric: str, inclusive: bool, exclude_coincident: bool) -> Column:
@@ -44,17 +46,21 @@ def radius_join(
     return pairs.where(_within(radius, metric, inclusive, exclude_coincident))
 
 
-def distance_matrix(query: DataFrame, search: DataFrame, metric: str = "euclid", max_search: int = 100_000) -> DataFrame:
-    """(qid, sid, dist) of a small search side, whose rows are counted and broadcast; more than max_search: ValueError.
+def distance_matrix(query: DataFrame, search: DataFrame, metric: str = "euclid", max_search: int | None = None) -> DataFrame:
+    """(qid, sid, dist) of every query row with every search row, as a stated set against all rows.
 
-    Every query row meets every search row, as a stated set against all rows; for large sides use radius_join.
+    The query rows are counted and dealt into blocks of about QUERY_BLOCK rows; each block meets each partition of the
+    search side, which stays where it is, so neither side has to fit one machine. Where a side is small enough, Spark
+    broadcasts it. Only a caller who names max_search is refused (ValueError) if there are more search rows. For the
+    pairs in reach alone use radius_join.
     """
-    if search.limit(max_search + 1).count() > max_search:
-        raise ValueError(f"a distance matrix takes at most {max_search} search points; use radius_join")
+    if max_search is not None and search.limit(max_search + 1).count() > max_search:
+        raise ValueError(f"this distance matrix was to take at most {max_search} search points; use radius_join")
+    if metric not in ("euclid", "cheby"):
+        raise ValueError(f"unknown metric: {metric}")
     q = query.select(F.col("id").alias("qid"), *(F.col(c).alias(f"q{c}") for c in XYZ))
     s = search.select(F.col("id").alias("sid"), *(F.col(c).alias(f"s{c}") for c in XYZ))
     d = [F.col(f"s{c}") - F.col(f"q{c}") for c in XYZ]
-    if metric not in ("euclid", "cheby"):
-        raise ValueError(f"unknown metric: {metric}")
     dist = F.sqrt(squared_norm(*d)) if metric == "euclid" else chebyshev(*d)
-    return q.crossJoin(F.broadcast(s)).select("qid", "sid", dist.alias("dist"))
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    return s.crossJoin(q.repartition(blocks)).select("qid", "sid", dist.alias("dist"))

@@ -213,6 +213,13 @@ def distance_matrix_cheby(spark, sf_dir):
     return rounded(distance_matrix(points.where("label = 0"), points.where("label = 1"), "cheby"), "dist")
 
 
+@register(P + " SELECT q.id AS qid, s.id AS sid, round(greatest(abs(s.x-q.x), abs(s.y-q.y), abs(s.z-q.z)), 6) AS dist FROM p q, p s WHERE q.id % 50 = 0")
+def distance_matrix_all(spark, sf_dir):
+    """The points whose ids are divisible by 50 against all points."""
+    points = emb(spark, sf_dir)
+    return rounded(distance_matrix(points.where("id % 50 = 0"), points, "cheby"), "dist")
+
+
 _ONE = P + f", {_voxels(EDGE)}, {_pairs(RADIUS)}, {_GROUPED}"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cairn.cloud import PointCloud
 from cairn.functions.geometry import with_eigenvalues
-from cairn.operators import regions
+from cairn.operators import neighbors, regions
 from cairn.operators import voxel as V
 from cairn.operators.features import REGISTERED, register_feature
 from cairn.operators.neighbors import distance_matrix, radius_join
@@ -117,6 +117,27 @@ def test_radius_is_inclusive_only_where_asked(spark):
         distance_matrix(q, s, max_search=1)
 
 
+@pytest.mark.parametrize("metric,order", [("euclid", 2), ("cheby", np.inf)])
+def test_distance_matrix_takes_every_pair(spark, monkeypatch, metric, order):
+    monkeypatch.setattr(neighbors, "QUERY_BLOCK", 7)
+    rng = np.random.default_rng(3)
+    a, b = rng.random((30, 3)), rng.random((50, 3))
+    for threshold in ("-1", "10m"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            got = {(r.qid, r.sid): r.dist for r in distance_matrix(cloud(spark, a), cloud(spark, b), metric).collect()}
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert len(got) == 1500 and all(d == pytest.approx(np.linalg.norm(b[j] - a[i], order)) for (i, j), d in got.items())
+    assert distance_matrix(cloud(spark, a).limit(0), cloud(spark, b), metric).count() == 0
+
+
+def test_distance_matrix_has_no_largest_search_side(spark):
+    many = spark.range(100_001).select("id", *(F.col("id").cast("double").alias(c) for c in "xyz"))
+    got = distance_matrix(cloud(spark, [(0, 0, 0)]), many, "cheby")
+    assert tuple(got.agg(F.count("*"), F.max("dist")).first()) == (100_001, 100_000.0)
+
+
 def test_eigenvectors(spark):
     rng = np.random.default_rng(5)
     pts = rng.random((40, 3)) * [3, 2, 1]
