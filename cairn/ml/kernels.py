@@ -4,6 +4,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,14 +37,32 @@ def nystroem(df: DataFrame, gamma: float = 5.0, components: int = 100, seed: int
 
 
 def covariance_matrix(df: DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and population covariance of feats, from algebraic aggregates: one row reaches the driver."""
-    cols = df.select(*(F.coalesce(F.nanvl(F.get("feats", F.lit(i)), F.lit(0.0)), F.lit(0.0)).alias(f"f{i}") for i in range(dims)))
-    row = cols.agg(*(F.avg(f"f{i}").alias(f"m{i}") for i in range(dims)), *(F.covar_pop(f"f{i}", f"f{j}").alias(f"c{i}_{j}") for i in range(dims) for j in range(i, dims))).first()
-    c = np.zeros((dims, dims))
-    for i in range(dims):
-        for j in range(i, dims):
-            c[i, j] = c[j, i] = row[f"c{i}_{j}"]
-    return np.array([row[f"m{i}"] for i in range(dims)]), c
+    """Mean and population covariance of feats, NaN and null as 0.
+
+    One pass in Arrow batches sums rows and outer products about the values of some row, so that large means cancel.
+    Each partition gives one row for each sum; these are added before the driver gets 1 + dims + dims * dims of them.
+    """
+    cells = (F.coalesce(F.nanvl(F.get("feats", F.lit(i)).cast("double"), F.lit(0.0)), F.lit(0.0)) for i in range(dims))
+    rows = df.select(F.array(*cells).alias("feats"))
+    first = rows.first()
+    if first is None:
+        return np.zeros(dims), np.zeros((dims, dims))
+    about = np.array(first["feats"])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, one, two = 0, np.zeros(dims), np.zeros((dims, dims))
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy().reshape(-1, dims) - about
+            n, one, two = n + len(x), one + x.sum(0), two + x.T @ x
+        if n:
+            values = np.concatenate([[float(n)], one, two.ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], names=["at", "value"])
+
+    total = np.zeros(1 + dims + dims * dims)
+    for r in rows.mapInArrow(sums, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():
+        total[r["at"]] = r["value"]
+    mean = total[1 : 1 + dims] / total[0]
+    return about + mean, total[1 + dims :].reshape(dims, dims) / total[0] - np.outer(mean, mean)
 
 
 def factor_model(cov: np.ndarray, components: int, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:

@@ -670,8 +670,7 @@ def forest_confusion(spark, sf_dir):
 def factor_scores(spark, sf_dir):
     from cairn.ml.kernels import factor_analysis
 
-    cut = emb(spark, sf_dir).select("id", F.slice("feats", 1, 16).alias("feats"))
-    return factor_analysis(cut, 16, 4)
+    return factor_analysis(emb(spark, sf_dir).select("id", "feats"), 64, 4)
 
 
 @register()

@@ -115,6 +115,29 @@ def test_kernels_and_factors(blobs):
     assert len(kernels.factor_analysis(blobs, 4, 2).first().feats) == 2
 
 
+def test_covariance_of_wide_rows(spark):
+    x = np.random.default_rng(4).normal(0, 1, (300, 64)) @ np.random.default_rng(5).normal(0, 1, (64, 64)) + 1e6
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, feats array<double>").repartition(5)
+    mean, cov = kernels.covariance_matrix(df, 64)
+    assert np.allclose(mean, x.mean(0), rtol=1e-12) and np.allclose(cov, np.cov(x, rowvar=False, ddof=0), atol=1e-7)
+    gaps = spark.createDataFrame([(0, [1.0, None, float("nan")]), (1, [3.0]), (2, None)], "id long, feats array<double>")
+    mean, cov = kernels.covariance_matrix(gaps, 3)
+    assert np.allclose(mean, [4 / 3, 0, 0]) and np.allclose(cov, np.diag([14 / 9, 0, 0]))
+    assert not kernels.covariance_matrix(gaps.limit(0), 3)[1].any()
+
+
+def test_factor_scores_read_every_component(spark):
+    from cairn import queries as Q
+
+    sf_dir = "/root/testdata/sf0.001"
+    got = {r.id: r.feats for r in Q.queries()["factor_scores"](spark, sf_dir).collect()}
+    rows = {r.id: np.array(r.feats) for r in Q.emb(spark, sf_dir).collect()}
+    x = np.stack([rows[i] for i in got])
+    load, noise = kernels.factor_model(np.cov(x, rowvar=False, ddof=0), 4)
+    beta = np.linalg.solve(np.eye(4) + (load / noise) @ load.T, load / noise)
+    assert load.shape == (4, 64) and np.allclose(np.stack(list(got.values())), (x - x.mean(0)) @ beta.T, atol=1e-6)
+
+
 def test_sources_and_store(spark, tmp_path):
     (tmp_path / "a.csv").write_text("1,2,3,9\n4,5,6,8\n")
     (tmp_path / "b.txt").write_text("1 2 3\n")
