@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cairn.operators.sampling import disjoint_balanced
 
 SCHEMA = "tree int, tag long, split double, vec array<double>, gini double, props array<double>"
-#: Rows that a tree grows from at most.
+#: Rows that a tree grows from at most, unless fit is told another number.
 TREE_ROWS = 200_000
 
 
@@ -49,18 +49,22 @@ def grow(x: np.ndarray, y: np.ndarray, labels: int, impurity: float, min_obs: in
     return rules
 
 
-def fit(df: DataFrame, trees: int = 10, impurity: float = 0.2, min_obs: int = 20, seed: int = 1) -> DataFrame:
-    """df(id, label, feats) -> rulebook. Each tree gets its own balanced, disjoint sample; no labels: no rules."""
+def fit(df: DataFrame, trees: int = 10, impurity: float = 0.2, min_obs: int = 20, seed: int = 1, rows: int = TREE_ROWS) -> DataFrame:
+    """df(id, label, feats) -> rulebook. Each tree gets its own balanced, disjoint sample; no labels: no rules.
+
+    rows: what a tree grows from at most, as one task holds it in memory: the sample has min(rarest // trees, rows //
+    labels) rows of each label, chosen by the seeded order of sample_key before any row reaches a tree.
+    """
     top = df.agg(F.max("label").alias("m")).first()["m"]
     labels = 0 if top is None else int(top) + 1
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").head(TREE_ROWS)
+        pdf = pdf.sort_values("id")
         tree = int(pdf["tree"].iloc[0])
         rules = grow(np.stack(pdf["feats"].to_numpy()).astype(float), pdf["label"].to_numpy(int), labels, impurity, min_obs, seed + tree)
         return pd.DataFrame([(tree, *r) for r in rules], columns=["tree", "tag", "split", "vec", "gini", "props"])
 
-    return disjoint_balanced(df, trees, seed).select("id", "label", "feats", "tree").groupBy("tree").applyInPandas(one, SCHEMA)
+    return disjoint_balanced(df, trees, seed, rows).select("id", "label", "feats", "tree").groupBy("tree").applyInPandas(one, SCHEMA)
 
 
 def walk(df: DataFrame, rulebook: DataFrame) -> DataFrame:

@@ -23,11 +23,15 @@ def _sizes(df: DataFrame) -> dict:
     return {r["label"]: r["n"] for r in df.groupBy("label").agg(F.count("*").alias("n")).collect()}
 
 
-def balanced_split(df: DataFrame, seed: int, folds: int = 2) -> DataFrame:
+def balanced_split(df: DataFrame, seed: int, folds: int = 2, rows: int | None = None) -> DataFrame:
     """(id, label, ...) with fold 0 .. folds - 1: as many rows of each label in each fold, folds disjoint, as large as the
-    rarest label allows. Rows without a label, and rows beyond the folds, are left out."""
+    rarest label allows. Rows without a label, and rows beyond the folds, are left out. rows: a fold has so many at most,
+    the same quota of each label (at least one row), taken in sample order."""
     known = df.where("label is not null")
-    n = min(_sizes(known).values(), default=0) // folds
+    sizes = _sizes(known)
+    n = min(sizes.values(), default=0) // folds
+    if rows is not None and sizes:
+        n = min(n, max(1, rows // len(sizes)))
     fold = F.floor(F.col("_r") / max(1, n)).cast("int")
     return _ranks(known, seed).withColumn("fold", fold).where(F.col("_r") < n * folds).drop("_r")
 
@@ -59,6 +63,7 @@ def skip_sample(df: DataFrame, skip: int, seed: int) -> DataFrame:
     return known.unionByName(picked)
 
 
-def disjoint_balanced(df: DataFrame, estimators: int, seed: int) -> DataFrame:
-    """Rows for each of several estimators (column tree): disjoint, floor(rarest / estimators) of each label."""
-    return balanced_split(df, seed, estimators).withColumnRenamed("fold", "tree")
+def disjoint_balanced(df: DataFrame, estimators: int, seed: int, rows: int | None = None) -> DataFrame:
+    """Rows for each of several estimators (column tree): disjoint, floor(rarest / estimators) of each label, and at most
+    floor(rows / labels) if rows is given."""
+    return balanced_split(df, seed, estimators, rows).withColumnRenamed("fold", "tree")

@@ -84,6 +84,22 @@ def test_random_projection_trees(blobs):
         rpt.decide(rpt.walk(blobs, book), "other")
 
 
+def test_bounded_trees_stay_balanced(spark):
+    """Ids follow labels: the smallest ids of a sample are all of one label."""
+    rng = np.random.default_rng(6)
+    rows = [(i, i // 200, (rng.normal(0, 0.4, 4) + np.eye(4)[i // 200] * 3).tolist()) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, label int, feats array<double>")
+    some = sampling.disjoint_balanced(df, 2, 1, 60)
+    assert {(r.tree, r.label): r["count"] for r in some.groupBy("tree", "label").count().collect()} == {(t, k): 20 for t in range(2) for k in range(3)}
+    assert some.select("id").distinct().count() == 120
+    book = rpt.fit(df, trees=2, min_obs=5, rows=60)
+    roots = {r.tree: r.props for r in book.where("tag = 1").collect()}
+    assert len(roots) == 2 and all(p == pytest.approx([1 / 3] * 3) for p in roots.values())
+    assert {r.label for r in rpt.predict(rpt.walk(df, book)).select("label").distinct().collect()} == {0, 1, 2}
+    few = sampling.disjoint_balanced(df, 2, 1, 2)
+    assert few.groupBy("tree", "label").count().where("count = 1").count() == 6
+
+
 @pytest.mark.parametrize("name", ["svm", "rf", "erf", "nb", "sgd"])
 def test_classifiers(blobs, name):
     model = make_classifier(name).fit(as_features(blobs))
