@@ -76,6 +76,13 @@ def row_key(*cols: str) -> Column:
     return F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in cols))
 
 
+def labelled_texts(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """docs(doc_id, text), known(doc_id, y), doc_ids of known being distinct -> (doc_id, y, text): one row for each
+    labelled doc_id that occurs. Where a doc_id has several texts, the one of the smallest row key stands for it."""
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").withColumn("_key", row_key("doc_id", "text"))
+    return rows.groupBy("doc_id", "y").agg(F.min_by("text", "_key").alias("text"))
+
+
 def global_positions(df: DataFrame, order: list[str], within: str | None = None, value: str | None = None, name: str = "pos") -> DataFrame:
     """Adds gapless positions from 0 in the given order, or the sum of `value` before each row if that is named.
 

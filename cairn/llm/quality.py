@@ -129,14 +129,14 @@ def held_out_remainder():
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """A model from the labelled rows outside the held-out fifth: those of quality 1 are the trusted positives.
 
-    At most fit_rows labelled rows are used, those with the smallest hashes of doc_id. The unlabelled text is all of
-    these rows with their labels hidden; the class prior is estimated as the share of positives among them. No labels
-    at all: a model that scores everything 1; no positives: one that scores everything 0.
+    At most fit_rows labelled rows are used, those with the smallest hashes of doc_id, one for each doc_id, however
+    often it occurs in docs. The unlabelled text is all of these rows with their labels hidden; the class prior is
+    estimated as the share of positives among them. No labels at all: a model that scores everything 1; no positives: one that scores everything 0.
     """
     known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).dropna().where(held_out_remainder() != 0)
     known = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("y", "text")
-    table = rows.mapInArrow(_feature_rows, "y int, x array<float>").limit(4 * fit_rows).toArrow()
+    rows = C.labelled_texts(docs, known).select("y", "text")
+    table = rows.mapInArrow(_feature_rows, "y int, x array<float>").toArrow()
     y = table.column("y").to_numpy() == 1 if table.num_rows else np.empty(0, bool)
     if not len(y) or y.all() or not y.any():
         sure = 40.0 if not len(y) or y.all() else -40.0

@@ -152,7 +152,8 @@ def _score_rows(batches, shared):
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", fit_rows: int = FIT_ROWS, held_out: bool = True) -> Model:
     """A model from labelled rows; grades are 0 up to the largest label (at least 1).
 
-    At most fit_rows rows are used, those with the smallest hashes of doc_id. held_out: leave out the rows whose crc32 of
+    At most fit_rows rows are used, those with the smallest hashes of doc_id, one for each doc_id, however often
+    it occurs in docs. held_out: leave out the rows whose crc32 of
     doc_id as text is a multiple of 5. No labels: a model of severity one half for all.
     """
     from cairn.llm.quality import held_out_remainder
@@ -161,9 +162,8 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", fit_rows: i
     if held_out:
         known = known.where(held_out_remainder() != 0)
     known = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    rows = rows.mapInArrow(_feature_rows, "doc_id long, y int, x array<long>, v array<double>")
-    got = rows.limit(4 * fit_rows).toArrow().sort_by("doc_id")
+    rows = C.labelled_texts(docs, known).mapInArrow(_feature_rows, "doc_id long, y int, x array<long>, v array<double>")
+    got = rows.toArrow().sort_by("doc_id")
     y = got.column("y").to_numpy()
     x = [np.asarray(v.values.to_numpy(zero_copy_only=False)).view(np.uint64) for v in got.column("x")] if got.num_rows else []
     v = [np.asarray(v.values.to_numpy(zero_copy_only=False)) for v in got.column("v")] if got.num_rows else []

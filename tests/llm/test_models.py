@@ -5,8 +5,9 @@ import brute
 import numpy as np
 import pytest
 from conftest import passage
+from pyspark.sql import functions as F
 
-from cairn.llm import mixing, quality, sharding, toxicity
+from cairn.llm import common, mixing, quality, sharding, toxicity
 
 
 def held_out(i):
@@ -70,6 +71,22 @@ def test_toxicity_on_held_out_rows(labelled, docs, empty):
     assert toxicity.toxicity_scores(docs, y.limit(0)).count() == docs.count()
 
 
+def test_a_recurring_document_counts_once(spark):
+    """40 labelled documents, one of them on most rows: the models are those of the 40 documents, in any row order."""
+    texts = [(i, ("good prose and words " if i % 2 else "bad 0x7f junk ##") * 3 + str(i)) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    once = spark.createDataFrame(texts, "doc_id long, text string")
+    hot = spark.createDataFrame([texts[1]] * 400 + texts, "doc_id long, text string").repartition(3)
+    one, two = (quality.train(d, labels, fit_rows=50) for d in (once, hot))
+    assert one.prior == two.prior and np.array_equal(one.mean, two.mean) and np.allclose(one.hidden, two.hidden)
+    one, two = (toxicity.train(d, labels, fit_rows=50) for d in (once, hot))
+    assert one.weights.keys() == two.weights.keys() and np.allclose(one.theta, two.theta)
+    known = labels.selectExpr("doc_id", "toxic AS y")
+    pairs = spark.createDataFrame([(1, "a"), (1, "b"), (2, None), (2, None), (99, "c")], "doc_id long, text string")
+    got, again = (sorted(map(tuple, common.labelled_texts(d, known).collect())) for d in (pairs, pairs.orderBy(F.desc("text"))))
+    assert got == again and [r[0] for r in got] == [1, 2] and got[1][2] is None
+
+
 def test_thresholds_share_weights_and_stay_ordered():
     rng = np.random.default_rng(4)
     rows, grade = [], []
