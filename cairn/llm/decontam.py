@@ -14,7 +14,7 @@ from cairn.llm import common as C
 
 #: Hamming radius on 64-bit fingerprints and number of blocks; with RADIUS < 2 * BLOCKS, two fingerprints within the
 #: radius differ by at most one bit in some block.
-RADIUS, BLOCKS = 17, 9
+RADIUS, BLOCKS = 23, 12
 #: Benchmark items held by a task at a time, by number and by characters; a larger benchmark is searched in turns.
 ITEMS, ITEM_CHARS = 20_000, 20_000_000
 #: Bits of the table that tells quickly whether a shingle may be in an item.
@@ -168,7 +168,7 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, percent: int
     are one shingle. The row tells the most similar window, the first of equals. Windows are fingerprinted by SimHash;
     the index returns all within RADIUS bits; similarity is then exact. Windows that hold too few shingles of items of
     their size to reach the threshold are not fingerprinted. A pair just at the threshold is beyond the radius with a
-    probability of about one in three hundred, a copy never.
+    probability of about one in a hundred thousand, a copy never.
 
     Items are searched in turns of at most ITEMS rows and ITEM_CHARS characters, so what is broadcast is bounded
     whatever the benchmark's size; a longer single item makes a turn of its own. Null texts and texts without words

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -54,6 +55,13 @@ def test_multi_index_finds_everything_within_the_radius():
     assert set(zip(q.tolist(), p.tolist())) == want
 
 
+def test_radius_keeps_the_miss_probability():
+    """At similarity 0.8 the shingle vectors have cosine 8 / 9, so a bit differs with probability acos(8 / 9) / pi."""
+    p = math.acos(8 / 9) / math.pi
+    miss = sum(math.comb(64, k) * p**k * (1 - p) ** (64 - k) for k in range(decontam.RADIUS + 1, 65))
+    assert miss < 2e-5 and decontam.RADIUS < 2 * decontam.BLOCKS
+
+
 def test_tokens_round_trip(spark, docs, texts, empty, tmp_path):
     from tokenizers import Tokenizer
 
