@@ -15,12 +15,18 @@ REGISTERED: dict[str, Callable[[float], Column]] = {}
 
 
 def register_feature(name: str, aggregate: Callable[[float], Column]) -> None:
-    """Makes an aggregate over the offsets dx, dy, dz of a neighbourhood available as a feature."""
+    """Makes an aggregate over the offsets dx, dy, dz of a neighbourhood available as a feature: a column of that name
+    at the end of one_scale, and of each scale of multiscale and multi_radius."""
     if name in REGISTERED:
         raise ValueError(f"feature {name} exists")
     REGISTERED[name] = aggregate
 
 
+def registered_sums(radius: float, prefix: str = "") -> list[Column]:
+    """The registered aggregates for a radius, named as they are registered; points without neighbours get null."""
+    return [aggregate(radius).alias(f"{prefix}{name}") for name, aggregate in REGISTERED.items()]
+
+
 def neighborhood_sums(pairs: DataFrame, within: Column | None = None, prefix: str = "") -> list[Column]:
     """Aggregates that all features derive from: n, mean offsets, covariances (of the sample); algebraic, so that they
     are combined before the shuffle."""

@@ -26,10 +26,10 @@ def resample(search: DataFrame, edge: float) -> DataFrame:
 def one_scale(query: DataFrame, search: DataFrame, edge: float, radius: float, profile: str = "minimal") -> DataFrame:
     """(qid, population or density, centroid, eig1, eig2) for each query point."""
     pairs = radius_join(query, resample(search, edge), radius, **RULES[profile])
-    grouped = G.attach(query, pairs.groupBy("qid").agg(*G.neighborhood_sums(pairs)))
+    grouped = G.attach(query, pairs.groupBy("qid").agg(*G.neighborhood_sums(pairs), *G.registered_sums(radius)))
     first = G.population().alias("population") if profile == "minimal" else G.density(radius).alias("density")
     rows = G.with_pca(grouped, ("eig1", "eig2", "eig3"))
-    return rows.select("qid", first, G.centroid_distance().alias("centroid"), "eig1", "eig2")
+    return rows.select("qid", first, G.centroid_distance().alias("centroid"), "eig1", "eig2", *G.REGISTERED)
 
 
 def multiscale(query: DataFrame, search: DataFrame, edges: list[float], radii: list[float], profile: str = "minimal") -> DataFrame:
@@ -53,11 +53,14 @@ def multi_radius(query: DataFrame, search: DataFrame, edge: float, radii: list[f
     radii = sorted(radii, reverse=True)
     pairs = radius_join(query, resample(search, edge), radii[0], **RULES[profile])
     d2 = squared_norm(*(F.col(f"d{c}") for c in XYZ))
+    inside = [d2 <= r * r if profile == "minimal" else d2 < r * r for r in radii]
     sums = []
-    for k, r in enumerate(radii):
-        within = d2 <= r * r if profile == "minimal" else d2 < r * r
+    for k, within in enumerate(inside):
         sums += G.neighborhood_sums(pairs, within, f"s{k}_")
     rows = G.attach(query, pairs.groupBy("qid").agg(*sums))
+    if G.REGISTERED:  # any aggregate, so that only a filter before it restricts it to a radius
+        for k, (r, within) in enumerate(zip(radii, inside)):
+            rows = rows.join(pairs.where(within).groupBy("qid").agg(*G.registered_sums(r, f"s{k}_")), "qid", "left")
     out = ["qid"]
     for k, r in enumerate(radii):
         p = f"s{k}_"
@@ -71,7 +74,7 @@ def multi_radius(query: DataFrame, search: DataFrame, edge: float, radii: list[f
             last = [G.covariance(a, b, p, scatter=True).alias(f"{p}cov_{a}{b}") for a, b in UPPER]
         else:
             raise ValueError(f"unknown kind: {kind}")
-        out += [(G.density(r, p) if profile == "gpu" else G.population(p)).alias(f"{p}{'density' if profile == 'gpu' else 'population'}"), G.centroid_distance(p).alias(f"{p}centroid"), *last]
+        out += [(G.density(r, p) if profile == "gpu" else G.population(p)).alias(f"{p}{'density' if profile == 'gpu' else 'population'}"), G.centroid_distance(p).alias(f"{p}centroid"), *last, *(f"{p}{name}" for name in G.REGISTERED)]
     return rows.select(*out)
 
 

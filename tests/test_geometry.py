@@ -201,3 +201,18 @@ def test_registered_features():
             register_feature("test_reach", lambda r: F.max("dx"))
     finally:
         REGISTERED.pop("test_reach")
+
+
+def test_registered_features_are_computed(spark):
+    q, s = cloud(spark, [(0, 0, 0), (50, 0, 0)]), cloud(spark, [(1, 0, 0), (2, 0, 0), (-3, 0, 0)])
+    register_feature("test_reach", lambda r: F.max("dx") / r)
+    try:
+        one = {r.qid: r.test_reach for r in M.one_scale(q, s, 0, 4.0).collect()}
+        two = {r.qid: r for r in M.multiscale(q, s, [0, 0], [4.0, 1.5]).collect()}
+        many = {r.qid: r for r in M.multi_radius(q, s, 0, [1.5, 4.0]).collect()}
+    finally:
+        REGISTERED.pop("test_reach")
+    assert one == {0: 0.5, 1: None}
+    for got in (two, many):
+        assert got[0].s0_test_reach == 0.5 and got[0].s1_test_reach == pytest.approx(1 / 1.5)
+        assert got[1].s0_test_reach is None and got[1].s1_test_reach is None
