@@ -607,7 +607,7 @@ def rpt_decide_wmax(spark, sf_dir):
 @register()
 def rpt_ensemble(spark, sf_dir):
     points = emb(spark, sf_dir).select("id", "label", "feats")
-    return rpt.predict(rpt.walk(points, rpt.fit(points, trees=4)))
+    return rpt.predict(rpt.walk(points, rpt.fit(points)))
 
 
 _CONF = AS + ", m AS (SELECT max(greatest(assigned, known)) AS m FROM k), g AS (SELECT CAST(a.i AS INTEGER) AS assigned, CAST(b.i AS INTEGER) AS known FROM range(0, (SELECT m + 1 FROM m)) a(i), range(0, (SELECT m + 1 FROM m)) b(i)), c AS (SELECT g.assigned, g.known, count(k.id) AS n FROM g LEFT JOIN k USING (assigned, known) GROUP BY ALL), s AS (SELECT a.assigned AS label, CAST(p AS BIGINT) AS p, CAST(r AS BIGINT) AS r, CAST(h AS BIGINT) AS h FROM (SELECT assigned, sum(n) AS p, sum(CASE WHEN assigned = known THEN n ELSE 0 END) AS h FROM c GROUP BY assigned) a JOIN (SELECT known, sum(n) AS r FROM c GROUP BY known) b ON a.assigned = b.known)"
@@ -663,7 +663,7 @@ def forest_confusion(spark, sf_dir):
     """Train on one balanced fold of the embeddings, validate on the other."""
     from cairn.plans.workflow import train_validate
 
-    return train_validate(emb(spark, sf_dir).select("id", "label", "feats"), "rf", numTrees=10)[1]
+    return train_validate(emb(spark, sf_dir).select("id", "label", "feats"), "rf")[1]
 
 
 @register()
@@ -677,7 +677,7 @@ def factor_scores(spark, sf_dir):
 def fourier_features(spark, sf_dir):
     from cairn.ml.kernels import random_fourier
 
-    return random_fourier(emb(spark, sf_dir).select("id", "feats"), 64, components=16)
+    return random_fourier(emb(spark, sf_dir).select("id", "feats"), 64)
 
 
 def queries() -> dict[str, Query]:

@@ -154,6 +154,18 @@ def test_factor_scores_read_every_component(spark):
     assert load.shape == (4, 64) and np.allclose(np.stack(list(got.values())), (x - x.mean(0)) @ beta.T, atol=1e-6)
 
 
+def test_model_queries_use_the_defaults(spark, monkeypatch):
+    from cairn import queries as Q
+
+    fit, trees, params, sf_dir = rpt.fit, [], [], "/root/testdata/sf0.001"
+    monkeypatch.setattr(rpt, "fit", lambda *a, **k: trees.append((a[1:], k)) or fit(*a, **k))
+    monkeypatch.setattr(workflow, "make_classifier", lambda name, **k: params.append(k) or make_classifier(name, **k))
+    assert len(Q.queries()["fourier_features"](spark, sf_dir).first().feats) == 100
+    for name in ("rpt_ensemble", "forest_confusion"):
+        Q.queries()[name](spark, sf_dir)
+    assert trees == [((), {})] and params == [{}]
+
+
 def test_sources_and_store(spark, tmp_path):
     (tmp_path / "a.csv").write_text("1,2,3,9\n4,5,6,8\n")
     (tmp_path / "b.txt").write_text("1 2 3\n")
