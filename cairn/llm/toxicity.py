@@ -9,7 +9,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,8 @@ FIT_ROWS = 12_000
 #: Features that a model keeps at most, and documents of the fit that must hold one.
 MAX_FEATURES = 30_000
 MIN_DOCS = 8
+#: Features of all fitted documents together at most; documents of the largest hashes go first.
+FIT_ENTRIES = 12_000_000
 #: Lengths in characters of the word beginnings that are features beside whole words.
 BEGINNINGS = (4, 5, 6)
 #: Saturation of counts, and the number of words at which length counts as usual.
@@ -49,46 +51,46 @@ def weight_of_count(count, n_words):
     return count / (count + SATURATION * (0.5 + n_words / USUAL_WORDS))
 
 
-def feature_values(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct feature hashes of a text, ascending, and their values."""
-    words = C.plain_words(text)
-    count: Counter = Counter()
-    for word, n in Counter(words).items():
-        for key in keys_of(word):
-            count[key] += n
-    keys = np.array(sorted(count), np.uint64)
-    return keys, weight_of_count(np.array([count[k] for k in keys.tolist()], float), len(words))
-
-
 def _theta(raw: np.ndarray) -> np.ndarray:
     """First threshold free, the others by positive steps, so that they stay ordered."""
     return np.concatenate([raw[:1], raw[0] + np.cumsum(np.exp(raw[1:]))]) if len(raw) else raw
 
 
-def fit(rows: list[np.ndarray], values: list[np.ndarray], grade: np.ndarray, grades: int, steps: int = 300, rate: float = 0.1, decay: float = 4e-4) -> Model:
+def frequent(rows: list[np.ndarray]) -> np.ndarray:
+    """Ascending hashes of the features that a fit on these documents keeps: held by MIN_DOCS of them, the most frequent
+    first up to MAX_FEATURES, ties by smaller hash."""
+    keys, n = np.unique(np.concatenate([*rows, np.empty(0, np.uint64)]), return_counts=True)
+    keep = np.flatnonzero(n >= min(MIN_DOCS, len(rows)))
+    return np.sort(keys[keep][np.lexsort((C.signed(keys[keep]), -n[keep]))][:MAX_FEATURES])
+
+
+def fit(rows: list[np.ndarray], values: list[np.ndarray], grade: np.ndarray, grades: int, **how) -> Model:
+    """A model from the feature hashes and values of each document; see fit_entries."""
+    if not len(rows):
+        return Model({}, np.full(max(0, grades - 1), 0.0))
+    words = frequent(rows)
+    flat, val = np.concatenate(rows), np.concatenate(values)
+    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    col = np.searchsorted(words, flat)
+    known = np.append(words, np.uint64(0))[col] == flat
+    return fit_entries(doc[known], col[known], val[known], words, grade, grades, **how)
+
+
+def fit_entries(doc: np.ndarray, col: np.ndarray, val: np.ndarray, words: np.ndarray, grade: np.ndarray, grades: int, steps: int = 300, rate: float = 0.1, decay: float = 4e-4) -> Model:
     """Ordinal logistic regression by proximal Adam: the sum over thresholds of the log losses of [grade > j].
 
-    rows, values: feature hashes and values of each document. A feature is kept if at least MIN_DOCS fitted documents hold
-    it, the most frequent first up to MAX_FEATURES; decay is an L1 penalty, which leaves weight only on what tells.
+    doc, col, val: document, feature (a place in words) and value of each entry; decay is an L1 penalty, which leaves
+    weight only on what tells.
     """
-    if grades < 2 or not len(rows):
+    n = len(grade)
+    if grades < 2 or not n:
         return Model({}, np.full(max(0, grades - 1), 0.0))
-    words, back = np.unique(np.concatenate(rows), return_inverse=True)
-    n_docs = np.bincount(back, minlength=len(words))
-    keep = np.flatnonzero(n_docs >= min(MIN_DOCS, len(rows)))
-    keep = keep[np.lexsort((words[keep], -n_docs[keep]))][:MAX_FEATURES]
-    column = np.full(len(words), -1)
-    column[keep] = np.arange(len(keep))
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    col, val = column[back], np.concatenate(values)
-    doc, val, col = doc[col >= 0], val[col >= 0], col[col >= 0]
     target = (grade[:, None] > np.arange(grades - 1)[None, :]).astype(float)
     share = np.clip(target.mean(0), 1e-4, 1 - 1e-4)
     start = np.log((1 - share) / share)
     raw = np.concatenate([start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
-    w = np.zeros(len(keep))
+    w = np.zeros(len(words))
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, raw)]
-    n = len(rows)
     for step in range(1, steps + 1):
         score = np.bincount(doc, weights=w[col] * val, minlength=n)
         theta = _theta(raw)
@@ -105,16 +107,43 @@ def fit(rows: list[np.ndarray], values: list[np.ndarray], grade: np.ndarray, gra
         w = np.sign(moved[0][0]) * np.maximum(np.abs(moved[0][0]) - decay * moved[0][1], 0)
         raw = moved[1][0]
     told = np.flatnonzero(w)
-    return Model(dict(zip(words[keep[told]].tolist(), w[told].tolist())), _theta(raw))
+    return Model(dict(zip(words[told].tolist(), w[told].tolist())), _theta(raw))
+
+
+def counts_of(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Distinct feature hashes of a text, ascending, how often each occurs, and the number of words."""
+    words = C.plain_words(text)
+    count: Counter = Counter()
+    for word, n in Counter(words).items():
+        for key in keys_of(word):
+            count[key] += n
+    keys = np.array(sorted(count), np.uint64)
+    return keys, np.array([count[k] for k in keys.tolist()], np.int32), len(words)
 
 
-def _feature_rows(batches):
+def _count_rows(batches):
     for batch in C.chunks(batches):
-        rows = [feature_values(t) for t in batch.column("text").to_pylist()]
-        sizes = [len(k) for k, _ in rows]
-        keys = C.ragged(C.signed(np.concatenate([k for k, _ in rows])), sizes)
-        values = pa.ListArray.from_arrays(keys.offsets, pa.array(np.concatenate([v for _, v in rows]), pa.float64()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), keys, values], names=["doc_id", "y", "x", "v"])
+        rows = [counts_of(t) for t in batch.column("text").to_pylist()]
+        keys = C.ragged(C.signed(np.concatenate([k for k, _, _ in rows])), [len(k) for k, _, _ in rows])
+        counts = pa.ListArray.from_arrays(keys.offsets, pa.array(np.concatenate([c for _, c, _ in rows]), pa.int32()))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("y"), keys, counts, pa.array([n for _, _, n in rows], pa.int64())], names=["doc_id", "y", "x", "c", "n"]
+        )
+
+
+def _known_rows(batches, shared):
+    """Of each document the features of the vocabulary, as places in it."""
+    words = shared.value
+    for batch in batches:
+        x = batch.column("x")
+        sizes = np.diff(x.offsets.to_numpy())
+        flat = x.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        col = np.searchsorted(words, flat)
+        known = np.append(words, np.uint64(0))[col] == flat if len(words) else np.zeros(len(flat), bool)
+        held = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[known], minlength=len(sizes))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(held)]).astype(np.int32))
+        parts = [pa.ListArray.from_arrays(offsets, pa.array(v[known].astype(np.int32))) for v in (col, batch.column("c").flatten().to_numpy(zero_copy_only=False))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), batch.column("n"), *parts], names=["doc_id", "y", "n", "col", "c"])
 
 
 class Known(dict):
@@ -149,25 +178,45 @@ def _score_rows(batches, shared):
         )
 
 
-def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", fit_rows: int = FIT_ROWS, held_out: bool = True) -> Model:
-    """A model from labelled rows; grades are 0 up to the largest label (at least 1).
+def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", fit_rows: int = FIT_ROWS, fit_entries_: int = FIT_ENTRIES, held_out: bool = True) -> Model:
+    """A model from labelled rows; grades are 0 up to the largest label (at least 1), so labels of 0 and 1 give a single
+    threshold, and more grades as many thresholds as there are steps.
+
+    At most fit_rows rows are used, those with the smallest hashes of doc_id, one for each doc_id, however often it
+    occurs in docs, and of these the first that together have at most fit_entries_ distinct features. A doc_id with
+    several labels has the largest. held_out: leave out the rows whose crc32 of doc_id as text is a multiple of 5. No
+    labels: a model of severity one half for all.
 
-    At most fit_rows rows are used, those with the smallest hashes of doc_id, one for each doc_id, however often
-    it occurs in docs. held_out: leave out the rows whose crc32 of
-    doc_id as text is a multiple of 5. No labels: a model of severity one half for all.
+    Documents holding a feature are counted on the executors; the driver gets the vocabulary (MAX_FEATURES) and, of each
+    document, the places and counts of its features in it.
     """
     from cairn.llm.quality import held_out_remainder
 
+    spark = docs.sparkSession
     known = labels.select("doc_id", F.col(column).cast("int").alias("y")).where("doc_id is not null and y >= 0")
     if held_out:
         known = known.where(held_out_remainder() != 0)
-    known = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    rows = C.labelled_texts(docs, known).mapInArrow(_feature_rows, "doc_id long, y int, x array<long>, v array<double>")
-    got = rows.toArrow().sort_by("doc_id")
-    y = got.column("y").to_numpy()
-    x = [np.asarray(v.values.to_numpy(zero_copy_only=False)).view(np.uint64) for v in got.column("x")] if got.num_rows else []
-    v = [np.asarray(v.values.to_numpy(zero_copy_only=False)) for v in got.column("v")] if got.num_rows else []
-    return fit(x, v, y, max(2, int(y.max(initial=1)) + 1))
+    known = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    stashed = C.stash(C.labelled_texts(docs, known).mapInArrow(_count_rows, "doc_id long, y int, x array<long>, c array<int>, n long"))
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # at most fit_rows thin rows
+    taken = stashed.select("doc_id", F.sum(F.size("x").cast("long")).over(order).alias("s")).where(F.col("s") <= fit_entries_).select("doc_id")
+    rows = stashed.join(F.broadcast(taken), "doc_id")
+    n_rows = rows.count()
+    held = rows.select(F.explode("x").alias("k")).groupBy("k").agg(F.count("*").alias("d")).where(F.col("d") >= min(MIN_DOCS, n_rows))
+    top = held.orderBy(F.desc("d"), "k").limit(MAX_FEATURES).select("k").toArrow().column("k").to_numpy()
+    words = np.sort(top.astype(np.int64).view(np.uint64))
+    shared = spark.sparkContext.broadcast(words)
+    got = rows.mapInArrow(partial(_known_rows, shared=shared), "doc_id long, y int, n long, col array<int>, c array<int>").toArrow()
+    shared.unpersist()
+    C.discard(stashed)
+    if not got.num_rows:
+        return Model({}, np.zeros(1))
+    got = got.sort_by("doc_id").combine_chunks()
+    col, count = (got.column(name).combine_chunks() for name in ("col", "c"))
+    sizes = np.diff(col.offsets.to_numpy())
+    doc, y, n = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), got.column("y").to_numpy(), got.column("n").to_numpy()
+    val = weight_of_count(count.flatten().to_numpy(zero_copy_only=False), n[doc])
+    return fit_entries(doc, col.flatten().to_numpy(zero_copy_only=False), val, words, y, max(2, int(y.max(initial=1)) + 1))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.4) -> DataFrame:
