@@ -13,9 +13,11 @@ from pyspark.sql import types as T
 
 from cairn.llm import common as C
 
-#: Labelled rows that a model is fitted on at most, the ones with the smallest hashes.
-FIT_ROWS = 12_000
+#: Trusted positives and unlabelled documents that a model is fitted on at most, the ones with the smallest hashes.
+POSITIVE_ROWS, UNLABELLED_ROWS = 8_000, 12_000
 THRESHOLD = 0.3
+#: Confidence of the share estimates and slack of the bound that the class prior is read off.
+DELTA, SLACK = 0.1, 0.01
 SCORE = "_cairn_score"
 #: Kinds of bytes: other control, upper, lower, digit, space, line feed, punctuation, non-ASCII.
 _KIND = np.array(
@@ -59,6 +61,8 @@ class Model:
     out: np.ndarray
     out_bias: float
     prior: float
+    #: Steps in which the estimated risk of the negatives was below zero.
+    turned: int = 0
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) * self.scale, -6, 6)
@@ -68,12 +72,37 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.margin(x.astype(np.float64)), -40, 40)))
 
 
-def estimate_prior(is_positive: np.ndarray) -> float:
-    """Class prior from a labelled sample, kept off the ends by a rule-of-succession count."""
-    return float((is_positive.sum() + 1) / (len(is_positive) + 2))
+def share_bound(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Upper bound of the share of positives in the unlabelled scores, both sets being scored by a model that saw neither.
 
-
-def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 24, steps: int = 400, rate: float = 0.01, decay: float = 1e-4, seed: int = 5) -> Model:
+    Above any score, unlabelled text holds at least the prior times the share of positives above it; the ratio of the two
+    shares is smallest where hardly any negatives are. The score is taken where the ratio plus its sampling error is
+    smallest.
+    """
+    cuts = np.unique(positive)
+    above_p = 1 - np.searchsorted(np.sort(positive), cuts) / len(positive)
+    above_u = 1 - np.searchsorted(np.sort(unlabelled), cuts) / len(unlabelled)
+    error = sum(np.sqrt(np.log(4 / DELTA) / (2 * len(x))) for x in (positive, unlabelled))
+    best = np.argmin((above_u + (1 + SLACK) * error) / above_p)
+    return float(np.clip(above_u[best] / above_p[best], 0.01, 0.99))
+
+
+def estimate_prior(positives: np.ndarray, unlabelled: np.ndarray, steps: int = 150) -> float:
+    """Class prior of the unlabelled rows, from positives and unlabelled rows alone: the mean of two share bounds, each
+    on the half of the rows that its model was not fitted on; a second round fits with the prior of the first."""
+    prior = 0.5
+    if min(len(positives), len(unlabelled)) < 4:
+        return prior
+    for _ in range(2):
+        bounds = []
+        for half in (0, 1):
+            model = fit(positives[half::2], unlabelled[half::2], prior, steps=steps)
+            bounds.append(share_bound(model.score(positives[1 - half :: 2]), model.score(unlabelled[1 - half :: 2])))
+        prior = float(np.mean(bounds))
+    return prior
+
+
+def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 24, steps: int = 300, rate: float = 0.01, decay: float = 1e-4, seed: int = 5) -> Model:
     """Minimises prior * E_P[l(+)] + max(0, E_U[l(-)] - prior * E_P[l(-)]) with the logistic loss, by Adam on all rows.
 
     Where the bracket is negative, the step goes up its gradient instead, as the non-negative estimator prescribes.
@@ -81,7 +110,7 @@ def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int
     everything = np.concatenate([positives, unlabelled]).astype(np.float64)
     mean, scale = unlabelled.mean(0, dtype=np.float64), 1 / (unlabelled.std(0, dtype=np.float64) + 1e-3)
     z = np.clip((everything - mean) * scale, -6, 6)
-    n_p, n_u = len(positives), len(unlabelled)
+    n_p, n_u, turned = len(positives), len(unlabelled), 0
     rng = np.random.default_rng(seed)
     params = [rng.normal(0, np.sqrt(1 / z.shape[1]), (z.shape[1], hidden)), np.zeros(hidden), rng.normal(0, np.sqrt(1 / hidden), hidden), np.zeros(1)]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -96,6 +125,7 @@ def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int
             g[:n_p] = prior * ((s[:n_p] - 1) - s[:n_p]) / n_p
             g[n_p:] = s[n_p:] / n_u
         else:
+            turned += 1
             g[:n_p] = prior * s[:n_p] / n_p
             g[n_p:] = -s[n_p:] / n_u
         back = np.outer(g, params[2]) * (pre > 0)
@@ -104,7 +134,7 @@ def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int
             m[i] = 0.9 * m[i] + 0.1 * d
             v[i] = 0.999 * v[i] + 0.001 * d * d
             params[i] = params[i] - rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
-    return Model(mean, scale, params[0], params[1], params[2], float(params[3][0]), prior)
+    return Model(mean, scale, params[0], params[1], params[2], float(params[3][0]), prior, turned)
 
 
 def _feature_rows(batches):
@@ -126,25 +156,33 @@ def held_out_remainder():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """A model from the labelled rows outside the held-out fifth: those of quality 1 are the trusted positives.
+def train(docs: DataFrame, labels: DataFrame, positive_rows: int = POSITIVE_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> Model:
+    """A model from trusted positives and unlabelled documents.
 
-    At most fit_rows labelled rows are used, those with the smallest hashes of doc_id, one for each doc_id, however
-    often it occurs in docs. The unlabelled text is all of these rows with their labels hidden; the class prior is
-    estimated as the share of positives among them. No labels at all: a model that scores everything 1; no positives: one that scores everything 0.
+    The positives are labelled doc_ids of quality 1 outside the held-out fifth, at most positive_rows; no other label is
+    read, so rows of quality 0 change nothing. The unlabelled text is a sample of docs whatever their labels, at most
+    unlabelled_rows doc_ids outside the held-out fifth. Both are those with the smallest hashes of doc_id, one text for
+    each doc_id, however often it occurs. The class prior is estimated from these two alone. Without positives nothing
+    can be told apart: a model that scores everything 1.
     """
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).dropna().where(held_out_remainder() != 0)
-    known = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    rows = C.labelled_texts(docs, known).select("y", "text")
-    table = rows.mapInArrow(_feature_rows, "y int, x array<float>").toArrow()
-    y = table.column("y").to_numpy() == 1 if table.num_rows else np.empty(0, bool)
-    if not len(y) or y.all() or not y.any():
-        sure = 40.0 if not len(y) or y.all() else -40.0
-        return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros((N_FEATURES, 1)), np.zeros(1), np.zeros(1), sure, float(sure > 0))
+    key = F.xxhash64("doc_id")
+    trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").where(held_out_remainder() != 0).select("doc_id").distinct()
+    trusted = trusted.orderBy(key, "doc_id").limit(positive_rows)
+    rate = min(1.0, 2 * unlabelled_rows / max(1, docs.count()))  # far more than are taken, so that the sort stays small
+    some = docs.where(F.pmod(key, F.lit(1 << 30)) < int(rate * (1 << 30))).where("doc_id IS NOT NULL").where(held_out_remainder() != 0)
+    some = some.select("doc_id").distinct().orderBy(F.pmod(key, F.lit(1 << 30)), "doc_id").limit(unlabelled_rows)
+    known = trusted.select("doc_id", F.lit(1).alias("y")).union(some.select("doc_id", F.lit(2))).groupBy("doc_id").agg(F.sum("y").cast("int").alias("y"))
+    table = C.labelled_texts(docs, known).select("y", "text").mapInArrow(_feature_rows, "y int, x array<float>").toArrow()
+    y = table.column("y").to_numpy() if table.num_rows else np.empty(0, int)
+    if not (y % 2 == 1).any():
+        return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros((N_FEATURES, 1)), np.zeros(1), np.zeros(1), 40.0, 1.0)
     x = np.concatenate([c.values.to_numpy(zero_copy_only=False) for c in table.column("x").chunks]).reshape(len(y), N_FEATURES)
     order = np.lexsort((*x.T[-3:], x[:, -9], y))  # the order in which rows arrive must not matter
     x, y = x[order], y[order]
-    return fit(x[y], x, estimate_prior(y))
+    positives, unlabelled = x[y % 2 == 1], x[y >= 2]
+    if not len(unlabelled):
+        unlabelled = positives
+    return fit(positives, unlabelled, estimate_prior(positives, unlabelled))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
