@@ -1,13 +1,16 @@
-"""Removal of word passages that occur more than once, located by repeated-phrase automata.
+"""Removal of word passages that occur more than once, located by sharded repeated-phrase automata.
 
 1. Every window of `window` words is assigned to its minimiser, the smallest-hashed phrase of q words in it. Windows in
    a row with the same minimiser form a unit; equal windows always have equal minimisers, so only units whose minimiser
    recurs can hold a recurring window. Units are a fifteenth of the words.
-2. Recurring passages are confirmed by counting: a unit seen twice recurs as a whole; where different units share a
-   minimiser, their windows are counted.
-3. Documents are dealt into shards of bounded size. Each shard gets the hashes of the confirmed units that occur in it,
-   reads the passages off its own text, compiles them (as windows that tile them) into an Aho-Corasick automaton over
-   words, and streams all its documents through it, which finds every occurrence.
+2. Candidate passages are told by counting: a unit seen twice recurs as a whole; where different units share a
+   minimiser, their windows are counted. Each recurring window gets a home, a place in one of the texts that hold it.
+3. Homes are dealt into pattern shards of bounded size. A shard's phrases, the first and last windows of each run of
+   candidates (runs are shorter than a window, so the two cover the run), are compiled into an Aho-Corasick automaton.
+4. The documents are streamed past the automata: of each document, the passages that can hold a phrase of a shard go to
+   that shard; shards that many documents go to are split, each part with the same automaton.
+5. Equality of words decides: a phrase is confirmed by an occurrence at a place other than the one it was read off; the
+   words that confirmed occurrences cover are removed.
 """
 
 from __future__ import annotations
@@ -23,10 +26,16 @@ from pyspark.sql import functions as F
 
 from cairn.llm import common as C
 
-#: Bytes of text in a shard, about; a shard's documents and its automaton are held in memory.
-SHARD_BYTES = 6_000_000
+#: Candidate runs whose phrases a shard compiles, about, and bytes of passages streamed past one compiled shard, about.
+SHARD_RUNS, STREAM_BYTES = 10_000, 32_000_000
+#: Words hashed at a time; longer texts are cut into pieces that overlap by a window less one word.
+PIECE_WORDS = 1 << 20
+#: Words of a text that have their home together.
+HOME_WORDS = 1 << 16
 #: Code points that stand for words in an automaton; a shard with more distinct words compiles several automata.
 CODES = 1_000_000
+#: Partitions that the passages are dealt into at most.
+PARTITIONS = 200_000
 INVERSE = np.uint64(pow(int(C.GOLDEN), -1, 2**64))
 
 
@@ -80,15 +89,30 @@ def units_of(h: np.ndarray, ends: np.ndarray, window: int, q: int) -> tuple[np.n
     return grams[at[new]], unit, doc, first - np.r_[0, ends][doc], n_win
 
 
-def _units(batches, window: int, q: int):
-    memo = C.WordHash()
+def _pieces(batches, window: int, memo: C.WordHash):
+    """(rk, first word, hashes of words) of whole texts or of overlapping pieces, in lists of about PIECE_WORDS."""
+    held, size = [], 0
     for batch in C.chunks(batches):
-        hashes = [memo.of(C.space_words(t)) for t in batch.column("text").to_pylist()]
-        ends = np.cumsum([len(h) for h in hashes], dtype=np.int64)
-        seed, unit, doc, start, n_win = units_of(np.concatenate(hashes), ends, window, q)
-        rk = batch.column("rk").to_numpy(zero_copy_only=False)[doc]
+        for rk, text in zip(batch.column("rk").to_pylist(), batch.column("text").to_pylist()):
+            h = memo.of(C.space_words(text))
+            for at in range(0, max(1, len(h) - window + 1), PIECE_WORDS):
+                piece = h[at : at + PIECE_WORDS + window - 1]
+                held.append((rk, at, piece))
+                size += len(piece)
+                if size >= PIECE_WORDS:
+                    yield held
+                    held, size = [], 0
+    if held:
+        yield held
+
+
+def _units(batches, window: int, q: int):
+    for held in _pieces(batches, window, C.WordHash()):
+        ends = np.cumsum([len(h) for _, _, h in held], dtype=np.int64)
+        seed, unit, doc, start, n_win = units_of(np.concatenate([h for _, _, h in held]), ends, window, q)
+        rk, at = (np.array([x[i] for x in held], np.int64)[doc] for i in (0, 1))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(C.signed(seed)), pa.array(C.signed(unit)), pa.array(rk, pa.int64()), pa.array(start.astype(np.int32)), pa.array(n_win.astype(np.int32))],
+            [pa.array(C.signed(seed)), pa.array(C.signed(unit)), pa.array(rk), pa.array((start + at).astype(np.int32)), pa.array(n_win.astype(np.int32))],
             names=["seed", "unit", "rk", "start", "n_win"],
         )
 
@@ -96,35 +120,89 @@ def _units(batches, window: int, q: int):
 def _windows(batches, window: int):
     """The windows of the units that a document stands for."""
     memo = C.WordHash()
-    for batch in batches:
+    for batch in C.chunks(batches):
         for text, units in zip(batch.column("text"), batch.column("units")):
-            rows = units.as_py()
-            n_win = np.array([r["n_win"] for r in rows])
-            which = np.repeat(np.arange(len(rows)), n_win)
+            rows = units.values
+            start, n_win, seed, unit, home, c = (rows.field(k).to_numpy(zero_copy_only=False) for k in ("start", "n_win", "seed", "unit", "home", "c"))
+            which = np.repeat(np.arange(len(start)), n_win)
             idx = np.arange(len(which)) - np.repeat(np.cumsum(n_win) - n_win, n_win)
-            first = np.array([r["start"] for r in rows])
-            wh = RangeHash(memo.of(C.space_words(text.as_py()))).of(first[which] + idx, window)
-            unit, c = (np.array([r[k] for r in rows], np.int64)[which] for k in ("unit", "c"))
-            yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(idx.astype(np.int32)), pa.array(C.signed(wh)), pa.array(c)], names=["unit", "idx", "wh", "c"])
+            h = memo.of(C.space_words(text.as_py()))
+            first, wh = start[which].astype(np.int64) + idx, np.empty(len(which), np.uint64)
+            for at in range(0, len(h), PIECE_WORDS):
+                inside = np.flatnonzero((first >= at) & (first < at + PIECE_WORDS))
+                if len(inside):
+                    wh[inside] = RangeHash(h[at : at + PIECE_WORDS + window - 1]).of(first[inside] - at, window)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(seed[which]), pa.array(unit[which]), pa.array(home[which]), pa.array(idx.astype(np.int32)), pa.array(C.signed(wh)), pa.array(c[which])],
+                names=["seed", "unit", "own", "idx", "wh", "c"],
+            )
+
+
+def runs_of(mask: int, n_win: int) -> list[tuple[int, int]]:
+    """(first, last) of each run of set bits below n_win."""
+    out, i = [], 0
+    while i < n_win:
+        if mask >> i & 1:
+            j = i
+            while j + 1 < n_win and mask >> (j + 1) & 1:
+                j += 1
+            out.append((i, j))
+            i = j
+        i += 1
+    return out
+
+
+CUT = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("rk", pa.int64()), ("start", pa.int32()), ("text", pa.binary())])
+
+
+def _cut(batches, window: int):
+    """Of each document: the phrases that are read off it (kind 0) and the passages to stream past each shard (kind 1)."""
+    for batch in C.chunks(batches):
+        rows: list[tuple] = []
+        for rk, text, units in zip(batch.column("rk").to_pylist(), batch.column("text").to_pylist(), batch.column("units").to_pylist()):
+            words = C.space_words(text)
+            reach: dict[int, list] = {}
+            for u in units:
+                for i, j in runs_of(u["mask"], u["n_win"]):
+                    a, b = u["start"] + i, u["start"] + j
+                    reach.setdefault(u["shard"], []).append((a, b + window))
+                    if u["stands"]:
+                        rows += [(u["shard"], 0, rk, x, b" ".join(words[x : x + window])) for x in {a, b}]
+            for shard, spans in reach.items():
+                spans.sort()
+                lo, hi = spans[0]
+                for a, b in spans[1:]:
+                    if a > hi:
+                        rows.append((shard, 1, rk, lo, b" ".join(words[lo:hi])))
+                        lo = a
+                    hi = max(hi, b)
+                rows.append((shard, 1, rk, lo, b" ".join(words[lo:hi])))
+            if len(rows) > 4096:
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(CUT)], schema=CUT)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(CUT)], schema=CUT)
 
 
 class PhraseAutomata:
-    """Aho-Corasick automata whose letters are words; words outside the phrases share one letter."""
+    """Aho-Corasick automata whose letters are words; words outside the phrases share one letter. Each phrase is known
+    by the place (document, first word) that it was read off."""
 
     def __init__(self, window: int):
-        self.window, self.done = window, []
+        self.window, self.done, self.places = window, [], []
         self._open()
 
     def _open(self) -> None:
         self.codes: dict[bytes, str] = {}
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
 
-    def add(self, words: list[bytes]) -> None:
+    def add(self, words: list[bytes], place: tuple[int, int]) -> None:
         for w in words:
             if w not in self.codes:
                 code = len(self.codes) + 1
                 self.codes[w] = chr(code if code < 0xD800 else code + 0x800)
-        self.automaton.add_word("".join([self.codes[w] for w in words]))
+        if self.automaton.add_word("".join([self.codes[w] for w in words]), len(self.places)):
+            self.places.append(place)
         if len(self.codes) > CODES:
             self.compile()
 
@@ -134,94 +212,144 @@ class PhraseAutomata:
             self.done.append((self.automaton, self.codes))
             self._open()
 
-    def covered(self, words: list[bytes]) -> np.ndarray | None:
-        """Which words an occurrence of a phrase covers; None: none."""
-        ends = []
+    def find(self, words: list[bytes]) -> list[tuple[int, int]]:
+        """(last word, phrase) of every occurrence of a phrase."""
+        out = []
         for automaton, codes in self.done:
             get = codes.get
-            ends += [e for e, _ in automaton.iter("".join([get(w, "\0") for w in words]))]
-        if not ends:
-            return None
-        change = np.zeros(len(words) + 1, np.int64)
-        at = np.array(ends)
-        np.add.at(change, at - (self.window - 1), 1)
-        np.add.at(change, at + 1, -1)
-        return np.cumsum(change)[:-1] > 0
+            out += automaton.iter("".join([get(w, "\0") for w in words]))
+        return out
 
 
 class Shard:
-    """The documents of one shard and the confirmed units that occur in them."""
-
-    def __init__(self, window: int, q: int, memo: C.WordHash):
-        self.window, self.q, self.memo = window, q, memo
-        self.masks: dict[int, int] = {}
-        self.docs: list[tuple] = []
-
-    def _starts(self) -> dict[int, np.ndarray]:
-        """First words of the recurring windows of each document that has any."""
-        out: dict[int, list] = {}
-        keys = np.array(sorted(self.masks), np.int64)
-        masks = np.array([self.masks[k] for k in keys.tolist()], np.int64)
-        held, size, base = [], 0, 0
-        for i in range(len(self.docs) + 1):
-            if held and (i == len(self.docs) or size > C.CHUNK_BYTES):
-                ends = np.cumsum([len(h) for h in held], dtype=np.int64)
-                _, unit, doc, start, n_win = units_of(np.concatenate(held), ends, self.window, self.q)
-                unit = C.signed(unit)
-                at = np.minimum(np.searchsorted(keys, unit), len(keys) - 1)
-                for u in np.flatnonzero(keys[at] == unit):
-                    on = np.flatnonzero(masks[at[u]] >> np.arange(n_win[u]) & 1)
-                    out.setdefault(base + int(doc[u]), []).append(start[u] + on)
-                held, size, base = [], 0, i
-            if i < len(self.docs):
-                words = C.space_words_of(self.docs[i][1])
-                held.append(self.memo.of(words))
-                size += len(self.docs[i][1])
-        return {d: np.sort(np.concatenate(s)) for d, s in out.items()}
-
-    def run(self):
-        """One row a document: (doc_id, words, removed, digest, kept text)."""
-        automata, seen = PhraseAutomata(self.window), set()
-        for d, starts in (self._starts() if self.masks else {}).items():
-            words = C.space_words_of(self.docs[d][1])
-            runs = np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1)
-            for s in {int(x) for r in runs for x in (*range(r[0], r[-1], self.window), r[-1])}:
-                phrase = tuple(words[s : s + self.window])
-                if phrase not in seen:
-                    seen.add(phrase)
-                    automata.add(phrase)
-        del seen
-        automata.compile()
-        for doc_id, raw in self.docs:
-            words = C.space_words_of(raw)
-            hit = automata.covered(words) if automata.done and len(words) >= self.window else None
-            kept = words if hit is None else [w for w, gone in zip(words, hit) if not gone]
-            text = b" ".join(kept)
-            yield doc_id, len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest(), text
-
-
-def _result(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-    columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
-    return pa.RecordBatch.from_arrays([*columns[:4], columns[4].cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
-
-
-def _stream(batches, window: int, q: int):
-    """Rows sorted by (shard, kind): a shard's confirmed units (kind 0), then its documents (kind 1)."""
-    memo, shard, current = C.WordHash(), None, None
+    """One shard's automata, and which of its phrases have been met away from the place they were read off."""
+
+    def __init__(self, window: int):
+        self.window, self.automata, self.compiled = window, PhraseAutomata(window), False
+
+    def stream(self, rk: int, start: int, words: list[bytes]) -> list[tuple[int, int, int]]:
+        """(document, from, to) of the words that phrases met here cover."""
+        if not self.compiled:
+            self.automata.compile()
+            self.compiled = True
+            at = np.array(self.automata.places, np.int64).reshape(-1, 2)
+            self.rk, self.at, self.met = at[:, 0], at[:, 1], np.zeros(len(at), bool)
+        found = self.automata.find(words)
+        if not found:
+            return []
+        last, phrase = np.array(found, np.int64).T
+        first = start + last - (self.window - 1)
+        away = (self.rk[phrase] != rk) | (self.at[phrase] != first)
+        self.met[phrase[away]] = True
+        first = np.unique(first[away])
+        if not len(first):
+            return []
+        new = np.flatnonzero(np.r_[True, np.diff(first) > self.window])
+        ends = first[np.r_[new[1:] - 1, len(first) - 1]] + self.window
+        return [(rk, int(a), int(b)) for a, b in zip(first[new], ends)]
+
+    def origins(self) -> list[tuple[int, int, int]]:
+        """The places that the phrases met elsewhere were read off."""
+        if not self.compiled:
+            return []
+        return [(int(self.rk[i]), int(self.at[i]), int(self.at[i]) + self.window) for i in np.flatnonzero(self.met)]
+
+
+def _stream(batches, window: int):
+    """Rows sorted by (shard, part, kind): a shard's phrases, then the passages of documents. Yields covered words."""
+    types = pa.schema([("rk", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
+    shard, current, rows = None, None, []
     for batch in batches:
-        names = ("shard", "kind", "doc_id", "unit", "mask", "text")
-        for s, kind, doc_id, unit, mask, text in zip(*(batch.column(n).to_pylist() for n in names)):
-            if s != shard:
-                if current:
-                    yield _result(list(current.run()))
-                shard, current = s, Shard(window, q, memo)
+        names = ("shard", "part", "kind", "rk", "start", "text")
+        for s, part, kind, rk, start, text in zip(*(batch.column(n).to_pylist() for n in names)):
+            if (s, part) != shard:
+                rows += current.origins() if current else []
+                shard, current = (s, part), Shard(window)
             if kind == 0:
-                current.masks[unit] = mask
+                current.automata.add(tuple(text.split()), (rk, start))
             else:
-                current.docs.append((doc_id, text or b""))
-    if current:
-        yield _result(list(current.run()))
+                rows += current.stream(rk, start, text.split())
+            if len(rows) > 8192:
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(types)], schema=types)
+                rows = []
+    rows += current.origins() if current else []
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(types)], schema=types)
+
+
+def _kept(batches):
+    """Each document without its covered words."""
+    for batch in C.chunks(batches):
+        n_words, n_removed, digests, texts = [], [], [], []
+        for text, cover in zip(batch.column("text").to_pylist(), batch.column("cover").to_pylist()):
+            words = kept = C.space_words(text)
+            if cover:
+                kept, at = [], 0
+                for a, b in sorted((c["a"], c["b"]) for c in cover):
+                    kept += words[at:a]
+                    at = max(at, b)
+                kept += words[at:]
+            raw = b" ".join(kept)
+            n_words.append(len(words))
+            n_removed.append(len(words) - len(kept))
+            digests.append(hashlib.sha256(raw).hexdigest())
+            texts.append(raw)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.binary()).cast(pa.string())],
+            names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
+        )
+
+
+def candidates(docs: DataFrame, window: int, q: int) -> tuple[DataFrame, DataFrame]:
+    """docs(rk, text) -> spots(seed, unit, rk, start, n_win), all places of units that may recur, and
+    runs(seed, unit, home, mask, o_rk, o_start): their windows that recur, by home, and the place that stands for a unit.
+
+    Seeds and hashes of units or windows are held together, so that what is equal by chance needs 128 equal bits.
+    """
+    every = C.stash(docs.select("rk", "text").mapInArrow(partial(_units, window=window, q=q), "seed long, unit long, rk long, start int, n_win int"))
+    twice = C.stash(every.groupBy("seed").agg(F.count("*").alias("t")).where("t > 1").select("seed"))  # written, so that a hot seed's side of the join can be split
+    spots = C.stash(every.join(twice, "seed"))
+    C.discard(every, twice)
+    once = C.stash(spots.groupBy("seed", "unit").agg(F.count("*").alias("c"), F.first("n_win").alias("n_win"), F.first("rk").alias("rk"), F.first("start").alias("start")))
+    seeds = C.stash(once.groupBy("seed").agg(F.count("*").alias("u")))
+    home = F.xxhash64("rk", (F.col("start") / HOME_WORDS).cast("int")).alias("home")
+    units = C.stash(once.join(seeds, "seed").select("seed", "unit", "n_win", "c", "rk", "start", "u", home))
+    C.discard(once, seeds)
+    stand = C.stash(units.where("u > 1").groupBy("rk").agg(F.collect_list(F.struct("seed", "unit", "home", "start", "n_win", "c")).alias("units")))
+    texts = docs.select("rk", "text").join(C.small(stand.select("rk")), "rk", "left_semi").join(stand, "rk").select("text", "units")
+    seen = C.stash(texts.mapInArrow(partial(_windows, window=window), "seed long, unit long, own long, idx int, wh long, c long"))
+    C.discard(stand)
+    several = seen.groupBy("seed", "wh").agg(F.sum("c").alias("t"), F.min("own").alias("home")).where("t > 1").drop("t")
+    bits = seen.join(several, ["seed", "wh"]).groupBy("seed", "unit", "home").agg(F.bit_or(F.expr("shiftleft(1L, idx)")).alias("mask"))
+    stands = units.select("seed", "unit", F.col("rk").alias("o_rk"), F.col("start").alias("o_start"))
+    whole = units.where("u = 1").select("seed", "unit", "home", F.lit(-1).cast("long").alias("mask"))  # the one unit of a recurring seed recurs itself
+    runs = C.stash(bits.union(whole).join(stands, ["seed", "unit"]))
+    C.discard(units, seen)
+    return spots, runs
+
+
+def confirmed(docs: DataFrame, spots: DataFrame, runs: DataFrame, window: int) -> DataFrame:
+    """(rk, a, b): the words from a up to b of document rk that confirmed phrases cover."""
+    spark = docs.sparkSession
+    n_shards = runs.count() // SHARD_RUNS + 1
+    stands = (F.col("rk") == F.col("o_rk")) & (F.col("start") == F.col("o_start"))
+    shard = F.pmod("home", F.lit(n_shards)).cast("int").alias("shard")
+    routes = C.stash(spots.join(runs, ["seed", "unit"]).groupBy("rk").agg(F.collect_list(F.struct("start", "n_win", "mask", shard, stands.alias("stands"))).alias("units")))
+    texts = docs.select("rk", "text").join(C.small(routes.select("rk")), "rk", "left_semi").join(routes, "rk")
+    cut = C.stash(texts.mapInArrow(partial(_cut, window=window), "shard int, kind int, rk long, start int, text binary"))
+    C.discard(routes)
+    phrases = cut.where("kind = 0").groupBy("shard", "text").agg(F.first("rk").alias("rk"), F.first("start").alias("start"))
+    parts = C.stash(cut.where("kind = 1").groupBy("shard").agg((F.sum(F.octet_length("text")) / STREAM_BYTES + 1).cast("int").alias("parts")))
+    total = parts.agg(F.sum("parts")).first()[0] or 1
+    sizes = C.small(parts)
+    columns = ["shard", "part", "kind", "rk", "start", "text"]
+    passages = cut.where("kind = 1").join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("rk", "start"), "parts").cast("int"))
+    phrases = phrases.join(sizes, "shard").withColumns({"kind": F.lit(0), "part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))})
+    n = min(PARTITIONS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total))
+    rows = phrases.select(columns).union(passages.select(columns)).repartition(n, "shard", "part").sortWithinPartitions("shard", "part", "kind")
+    cover = C.stash(rows.mapInArrow(partial(_stream, window=window), "rk long, a int, b int"))
+    C.discard(cut, parts)
+    return cover
 
 
 def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
@@ -231,35 +359,15 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     also starts anywhere else, in the same or another document; all windows are judged on the input. kept_text joins
     the words that stay by one space. Null text counts as empty: no words, nothing removed, the digest of an empty
     string. Rows that repeat doc_id and text are one document each time they occur; null ids are allowed. Texts of less
-    than a window stay whole. Other columns are ignored. window: 2 to 80.
+    than a window stay whole; texts of any length are read whole. Other columns are ignored. window: 2 to 80.
     """
     if not 2 <= window <= 80:
         raise ValueError("window must be 2 to 80 words")
-    q = max(1, window // 4)
-    docs = docs.select(C.row_key("doc_id", "text").alias("rk"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    every = C.stash(docs.select("rk", "text").mapInArrow(partial(_units, window=window, q=q), "seed long, unit long, rk long, start int, n_win int"))
-    twice = C.stash(every.groupBy("seed").agg(F.count("*").alias("t")).where("t > 1").select("seed"))  # written, so that a hot seed's side of the join can be split
-    spots = C.stash(every.join(twice, "seed"))
-    C.discard(every, twice)
-    units = C.stash(spots.groupBy("seed", "unit", "n_win").agg(F.count("*").alias("c"), F.first("rk").alias("rk"), F.first("start").alias("start")))
-    seeds = units.groupBy("seed").agg(F.count("*").alias("u"))
-    units = C.stash(units.join(seeds, "seed").select("unit", "n_win", "c", "rk", "start", "u"))
-    stand = C.stash(units.where("u > 1").groupBy("rk").agg(F.collect_list(F.struct("unit", "start", "n_win", "c")).alias("units")))
-    texts = docs.select("rk", "text").join(C.small(stand.select("rk")), "rk", "left_semi").join(stand, "rk").select("text", "units")
-    several = texts.mapInArrow(partial(_windows, window=window), "unit long, idx int, wh long, c long")
-    seen = C.stash(several.groupBy("unit", "idx").agg(F.first("wh").alias("wh"), F.first("c").alias("c")))  # repeated rows give a unit twice
-    again = seen.groupBy("wh").agg(F.sum("c").alias("t")).where("t > 1").select("wh")
-    part = seen.join(again, "wh").groupBy("unit").agg(F.bit_or(F.expr("shiftleft(1L, idx)")).alias("mask"))
-    masks = C.stash(part.union(units.where("u = 1").select("unit", F.lit(-1).cast("long"))))  # one unit of a recurring seed recurs itself
-    C.discard(units, stand, seen)
-
-    size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // SHARD_BYTES + 1)
-    shard = F.pmod(F.xxhash64("rk", F.lit(1)), F.lit(shards)).cast("int").alias("shard")
-    needed = C.stash(spots.select(shard, "unit").distinct().join(masks, "unit"))
-    C.discard(spots, masks)
-    rows = needed.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), "unit", "mask", F.lit(None).cast("binary").alias("text")).union(
-        docs.select(shard, F.lit(1), "doc_id", F.lit(None).cast("long"), F.lit(None).cast("long"), F.col("text").cast("binary"))
-    )
-    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "kind")
-    return rows.mapInArrow(partial(_stream, window=window, q=q), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    rows = docs.select(F.monotonically_increasing_id().alias("rk"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = C.stash(rows)  # written, so that a row keeps its number
+    spots, runs = candidates(rows, window, max(1, window // 4))
+    found = confirmed(rows, spots, runs, window)
+    C.discard(spots, runs)
+    cover = C.stash(found.groupBy("rk").agg(F.collect_set(F.struct("a", "b")).alias("cover")))
+    C.discard(found)
+    return rows.join(cover, "rk", "left").select("doc_id", "text", "cover").mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
