@@ -100,5 +100,131 @@ SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, target, copies, copies *
 """
 
 
+CRC_SQL = """
+b AS (SELECT range AS i, range AS c FROM range(256)),
+steps AS (SELECT i, list_reduce(list_prepend(c, range(8)), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS c FROM b),
+crc AS (SELECT list(c ORDER BY i) AS t FROM steps)"""
+
+#: Minimax cuts: the least capacity by bisection, each tried greedily with eight shards over the running sums of groups.
+SHARDING_SQL = (
+    "WITH RECURSIVE "
+    + CRC_SQL
+    + r"""
+,
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size, coalesce(substr(sha256(text), 1, 32), 'null') AS g,
+    CAST(xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+      lambda c, x: xor(c >> 8, t[CAST((xor(c, x) & 255) + 1 AS BIGINT)])), 4294967295) AS BIGINT) AS text_crc32
+  FROM documents, crc
+),
+g AS (SELECT g, sum(size) AS bytes, min(doc_id) AS f FROM d GROUP BY g),
+e AS (SELECT g, bytes, CAST(sum(bytes) OVER (ORDER BY f NULLS FIRST, g ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e FROM g),
+l AS (SELECT list(e ORDER BY e) AS l, max(e) AS total, max(bytes) AS largest FROM e),
+tries(l, total, bad, good) AS (
+  SELECT l, total, CAST(greatest(ceil(total / 8.0), largest) - 1 AS BIGINT), CAST(greatest(ceil(total / 8.0), largest) + largest AS BIGINT) FROM l
+  UNION ALL
+  SELECT l, total, CASE WHEN ok THEN bad ELSE mid END, CASE WHEN ok THEN mid ELSE good END FROM (
+    SELECT l, total, bad, good, mid, list_reduce([0, 1, 2, 3, 4, 5, 6, 7, 8], lambda z, x: coalesce(list_max(list_filter(l, lambda y: y <= z + mid)), 0)) = total AS ok
+    FROM (SELECT *, (bad + good) // 2 AS mid FROM tries WHERE good - bad > 1)
+  )
+),
+c0 AS (SELECT l, good AS c, list_max(list_filter(l, lambda y: y <= good)) AS c1 FROM tries WHERE good - bad <= 1),
+c2 AS (SELECT *, list_max(list_filter(l, lambda y: y <= c1 + c)) AS c2 FROM c0),
+c3 AS (SELECT *, list_max(list_filter(l, lambda y: y <= c2 + c)) AS c3 FROM c2),
+c4 AS (SELECT *, list_max(list_filter(l, lambda y: y <= c3 + c)) AS c4 FROM c3),
+c5 AS (SELECT *, list_max(list_filter(l, lambda y: y <= c4 + c)) AS c5 FROM c4),
+c6 AS (SELECT *, list_max(list_filter(l, lambda y: y <= c5 + c)) AS c6 FROM c5),
+c7 AS (SELECT *, list_max(list_filter(l, lambda y: y <= c6 + c)) AS c7 FROM c6),
+s AS (SELECT e.g, CAST((e > c1)::INT + (e > c2)::INT + (e > c3)::INT + (e > c4)::INT + (e > c5)::INT + (e > c6)::INT + (e > c7)::INT AS INTEGER) AS shard FROM e, c7)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size, g) - 1 AS slot,
+  CAST(NULL AS INTEGER) AS grown_shard
+FROM d JOIN s USING (g)
+"""
+)
+
+
+def license_sql() -> str:
+    """Base phrases by the places of their words; notices by counting distinct template words from each start near one."""
+    rows = [(t, x.label, len(x.words), x.need, x.size, x.phrase, i, w) for t, x in enumerate((*license.BASE, *license.NOTICES)) for i, w in enumerate(x.words)]
+    values = ", ".join(f"({t}, '{label}', {m}, {need}, {size}, {phrase}, {i}, '{w}')" for t, label, m, need, size, phrase, i, w in rows)
+    return rf"""
+WITH tw(t, label, m, need, size, phrase, i, w) AS (VALUES {values}),
+tpl AS (SELECT DISTINCT t, label, m, need, size, phrase FROM tw),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{license.UPPER}', '{license.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+),
+n AS (SELECT r, doc_id, CAST(len(words) AS BIGINT) AS n FROM d),
+p AS (SELECT r, unnest(words) AS w, unnest(range(len(words))) AS p FROM d),
+spot AS (SELECT r, p, w FROM p SEMI JOIN tw USING (w)),
+base AS (
+  SELECT r, t, p - i AS s FROM spot JOIN tw USING (w) WHERE phrase GROUP BY r, t, p - i, m HAVING count(*) = m
+),
+tok AS (SELECT DISTINCT t, w FROM tw WHERE NOT phrase),
+has AS (SELECT r, t FROM (SELECT DISTINCT r, w FROM spot) JOIN tok USING (w) JOIN tpl USING (t) GROUP BY r, t, need HAVING count(*) >= need),
+near AS (SELECT has.r, has.t, p, spot.w FROM has JOIN spot USING (r) JOIN tok ON tok.t = has.t AND tok.w = spot.w),
+starts AS (
+  SELECT DISTINCT r, t, least(s, greatest(n - m, 0)) AS s FROM (SELECT r, t, m, n, unnest(range(greatest(p - m + 1, 0), p + 1)) AS s FROM near JOIN tpl USING (t) JOIN n USING (r))
+),
+held AS (
+  SELECT s.r, s.t, s.s, count(DISTINCT near.w) AS c FROM starts s JOIN tpl USING (t) JOIN near ON near.r = s.r AND near.t = s.t AND p >= s AND p < s + m GROUP BY ALL
+),
+hit AS (
+  SELECT r, label, CAST(c AS DOUBLE) / size AS share, NULL AS s FROM held JOIN tpl USING (t) WHERE c >= need
+  UNION ALL SELECT r, label, 1.0, s FROM base JOIN tpl USING (t)
+),
+by_doc AS (
+  SELECT r, count(s) AS n_base, min(s) AS first_word, max(s) AS last_word, max(share) AS score,
+    array_to_string(list_sort(list(DISTINCT label) FILTER (s IS NOT NULL)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels
+  FROM hit GROUP BY r
+)
+SELECT doc_id, n AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM n LEFT JOIN by_doc USING (r)
+"""
+
+
+NEARDUP_SQL = rf"""
+WITH RECURSIVE
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{license.UPPER}', '{license.LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 2), ' ') AS x
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+sets AS (SELECT doc_id, n, md5(string_agg(x, ' ' ORDER BY x)) AS k FROM s JOIN n USING (doc_id) GROUP BY doc_id, n),
+rep AS (SELECT k, n, min(doc_id) AS id FROM sets GROUP BY k, n),
+held AS (SELECT s.doc_id AS id, x, n, count(*) OVER (PARTITION BY x) AS c FROM s JOIN rep ON s.doc_id = rep.id),
+ranked AS (SELECT id, x, n, row_number() OVER (PARTITION BY id ORDER BY c, x) AS place FROM held),
+prefix AS (SELECT id, x, n FROM ranked WHERE place <= n - CAST(ceil(0.85 * n - 1e-9) AS BIGINT) + 1),
+cand AS (SELECT DISTINCT a.id AS a, b.id AS b, a.n AS na, b.n AS nb FROM prefix a JOIN prefix b ON a.x = b.x AND a.id < b.id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)),
+both_ AS (SELECT a, b, na, nb, count(*) AS c FROM cand JOIN s p ON p.doc_id = a JOIN s q ON q.doc_id = b AND q.x = p.x GROUP BY ALL),
+link AS (SELECT a, b FROM both_ WHERE 100 * c >= 85 * (na + nb - c)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(a, b) AS (SELECT id, id FROM rep UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a),
+part AS (SELECT a, min(b) AS component FROM reach GROUP BY a)
+SELECT doc_id, CAST(coalesce(sets.n, 0) AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept
+FROM d LEFT JOIN sets USING (doc_id) LEFT JOIN rep USING (k, n) LEFT JOIN part ON part.a = rep.id
+"""
+
+SUBSTRING_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT r, s, array_to_string(list_slice(w, s, s + 34), ' ') AS k FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS s FROM d WHERE len(w) >= 35)),
+twice AS (SELECT k FROM v GROUP BY k HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(s, s + 35)) AS p FROM v JOIN twice USING (k)),
+words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": TOPK_SQL, "op6_mixing": MIXING_SQL}
+    return {
+        "op1_topk": TOPK_SQL,
+        "op3_sharding": SHARDING_SQL,
+        "op5_license": license_sql(),
+        "op6_mixing": MIXING_SQL,
+        "op9_neardup": NEARDUP_SQL,
+        "op10_substring": SUBSTRING_SQL,
+    }
