@@ -168,7 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, positive_rows: int = POSITIVE_ROWS
     key = F.xxhash64("doc_id")
     trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").where(held_out_remainder() != 0).select("doc_id").distinct()
     trusted = trusted.orderBy(key, "doc_id").limit(positive_rows)
-    rate = min(1.0, 2 * unlabelled_rows / max(1, docs.count()))  # far more than are taken, so that the sort stays small
+    n_ids = docs.agg(F.approx_count_distinct("doc_id")).first()[0]
+    rate = min(1.0, 2 * unlabelled_rows / max(1, n_ids))  # more than are taken, but few enough that the sort stays small
     some = docs.where(F.pmod(key, F.lit(1 << 30)) < int(rate * (1 << 30))).where("doc_id IS NOT NULL").where(held_out_remainder() != 0)
     some = some.select("doc_id").distinct().orderBy(F.pmod(key, F.lit(1 << 30)), "doc_id").limit(unlabelled_rows)
     known = trusted.select("doc_id", F.lit(1).alias("y")).union(some.select("doc_id", F.lit(2))).groupBy("doc_id").agg(F.sum("y").cast("int").alias("y"))
