@@ -15,22 +15,25 @@ from cairn.llm import common as C
 QUERY_BLOCK = 4096
 #: Candidates laid out vertically at a time.
 CANDIDATES = 4096
+#: Candidates whose scores give every query of a block its first bound.
+FIRST = 4096
 #: Dimensions accumulated before candidates are compacted again.
 DIMENSIONS = 16
 
 
 class Best:
-    """The k best (score, id) of one query so far: larger score first, ties to the smaller id."""
+    """The k best (score, id) of one query so far: larger score first, ties to the smaller id. floor: what a candidate must
+    reach, the k-th score here or among some other candidates."""
 
-    def __init__(self, k: int):
-        self.k, self.score, self.ids, self.floor = k, np.empty(0, np.int64), np.empty(0, np.int64), None
+    def __init__(self, k: int, floor: int | None = None):
+        self.k, self.score, self.ids, self.floor = k, np.empty(0, np.int64), np.empty(0, np.int64), floor
 
     def add(self, score: np.ndarray, ids: np.ndarray) -> None:
         score, ids = np.concatenate([self.score, score]), np.concatenate([self.ids, ids])
         keep = np.lexsort((ids, -score))[: self.k]
         self.score, self.ids = score[keep], ids[keep]
         if len(keep) == self.k:
-            self.floor = int(self.score[-1])
+            self.floor = max(int(self.score[-1]), self.score[-1] if self.floor is None else self.floor)
 
 
 def _scale(x: np.ndarray, factor: float) -> np.ndarray:
@@ -82,12 +85,12 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _search(batches, queries, k: int, factor: float, base: int):
-    q_ids, q = queries.value
+    q_ids, q, floors = queries.value
     width = q.shape[1]
     order = np.argsort(-(q**2).mean(0), kind="stable")  # dimensions with the most mass first: bounds tighten sooner
     q = np.ascontiguousarray(q[:, order])
     cuts = [*range(0, width, DIMENSIONS), width]
-    best = [Best(k) for _ in q_ids]
+    best = [Best(k, f) for f in floors]
     for batch in batches:
         for at in range(0, batch.num_rows, CANDIDATES):
             piece = batch.slice(at, CANDIDATES)
@@ -101,12 +104,27 @@ def _search(batches, queries, k: int, factor: float, base: int):
         )
 
 
+def first_floors(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> list[int | None]:
+    """For each query its k-th score among a few candidates; None where they are fewer or too large for doubles."""
+    if len(c) <= k or not _safe(q, c):
+        return [None] * len(q)
+    out: list[int | None] = []
+    for lo in range(0, len(q), 512):
+        score = q[lo : lo + 512] @ c.T
+        score[q_ids[lo : lo + 512, None] == c_ids[None, :]] = -np.inf
+        kth = np.partition(score, len(c) - k, axis=1)[:, len(c) - k]
+        out += [int(x) if np.isfinite(x) else None for x in kth]
+    return out
+
+
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, factor: float = 64.0) -> DataFrame:
     """candidates, queries (vec_id, embedding) -> (query_id, rank, vec_id, score): each query's k highest scores.
 
     A component x counts as floor(factor * x), x as double; the score is the integer inner product. Every candidate but
     those with the query's own vec_id is ranked, ties to the smaller vec_id; fewer than k: all. Queries are searched in
-    blocks of QUERY_BLOCK, which bounds what is broadcast; every candidate partition returns at most k rows a query.
+    blocks of about QUERY_BLOCK, one after another: what is broadcast is bounded, and released when the block's best k
+    of every query are written. FIRST candidates give a block its first bounds; every partition returns at most k rows a
+    query.
 
     Null ids, null vectors, empty vectors and vectors with null or non-finite components take no part. Vectors of
     different lengths are not compared. Repeated rows are ranked each; a repeated query row is answered each time.
@@ -119,22 +137,25 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, factor: float
         fine = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
         return df.select(F.col("vec_id").cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & (F.size("v") > 0) & fine)
 
+    def arrays(df: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = df.toArrow()
+        return rows.column("id").to_numpy(), _scale(_matrix(rows.column("v").combine_chunks(), width), factor)
+
     cands, asked = clean(candidates), clean(queries)
-    parts, base = [], 0
+    found, base = None, 0
+    by_rank = Window.partitionBy("qx").orderBy(F.desc("score"), "vec_id")
     for width, n in sorted((r["w"], r["n"]) for r in asked.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n")).collect()):
         blocks = -(-n // QUERY_BLOCK)
+        own = cands.where(F.size("v") == width)
+        few = arrays(own.limit(FIRST), width)
         for b in range(blocks):
-            rows = asked.where((F.size("v") == width) & (F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)).toArrow()
-            if not rows.num_rows:
+            ids, q = arrays(asked.where((F.size("v") == width) & (F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)), width)
+            if not len(ids):
                 continue
-            ids, q = rows.column("id").to_numpy(), _scale(_matrix(rows.column("v").combine_chunks(), width), factor)
-            shared = spark.sparkContext.broadcast((ids, q))
-            parts.append(cands.where(F.size("v") == width).mapInArrow(partial(_search, queries=shared, k=k, factor=factor, base=base), "qx long, query_id long, vec_id long, score long"))
+            shared = spark.sparkContext.broadcast((ids, q, first_floors(ids, q, *few, k)))
+            best = own.mapInArrow(partial(_search, queries=shared, k=k, factor=factor, base=base), "qx long, query_id long, vec_id long, score long")
+            best = C.stash(best.withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+            shared.unpersist()
+            found = best if found is None else found.union(best)
             base += len(ids)
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
-    w = Window.partitionBy("qx").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long") if found is None else found
