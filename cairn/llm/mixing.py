@@ -68,7 +68,7 @@ def mix_counts(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """
     sizes = C.stash(docs.select("doc_id", "source", word_count().alias("size")))
     plan = targets(sizes)
-    joined = sizes.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    joined = sizes.join(C.small(plan.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")))
     n = copies(F.col("source_size"), F.col("target"), uniform(F.col("doc_id"), seed=seed))
     return joined.select("doc_id", "size", "source_size", "target", n.alias("copies"), (n * F.col("size")).alias("taken"))
 

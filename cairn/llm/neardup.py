@@ -222,7 +222,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows whose group has a smaller doc_id; of rows that repeat a doc_id and text one stays."""
-    found = near_duplicates(docs, k, percent).where("kept").select("rk").distinct()
+    """docs without the rows whose group has a smaller doc_id; of rows that repeat a doc_id and text one stays.
+
+    Survivors are decided on keys alone; only rows whose key occurs more than once are compared with each other.
+    """
+    found = near_duplicates(docs, k, percent).where("kept").groupBy(F.col("rk").alias("_cairn_rk")).agg(F.count("*").alias("n"))
+    found = C.stash(found)
     keyed = docs.withColumn("_cairn_rk", C.row_key("doc_id", "text"))
-    return keyed.join(C.small(found.select(F.col("rk").alias("_cairn_rk"))), "_cairn_rk", "left_semi").dropDuplicates(["_cairn_rk"]).drop("_cairn_rk")
+    once = keyed.join(C.small(found.where("n = 1").select("_cairn_rk")), "_cairn_rk", "left_semi")
+    again = found.where("n > 1").select("_cairn_rk")
+    if not again.isEmpty():
+        once = once.union(keyed.join(C.small(again), "_cairn_rk", "left_semi").dropDuplicates(["_cairn_rk"]))
+    return once.drop("_cairn_rk")

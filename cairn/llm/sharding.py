@@ -105,15 +105,18 @@ def shard_documents(docs: DataFrame, shards: int = 8, keep: list[str] | None = N
     Null text counts as no bytes and is a group of its own; null doc_ids come first. Repeated rows are separate rows of
     one group. A group larger than an even share makes its shard as large as itself. Empty tables give no rows.
     """
-    docs = docs.drop("size", "text_crc32", "law", "shard", "slot", "grown_shard", "_cairn_g")
+    docs = docs.drop("size", "text_crc32", "law", "shard", "slot", "grown_shard", "_cairn_g", "_cairn_r")
     keep = list(docs.columns) if keep is None else keep
-    rows = docs.withColumns({"size": text_size(), "text_crc32": F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")), "_cairn_g": text_group()})
-    rows = rows.select(*dict.fromkeys([*keep, "doc_id"]), "size", "text_crc32", "_cairn_g")
-    if "text" not in keep:
-        rows = C.stash(rows)
-    thin = rows.select(F.col("_cairn_g").alias("g"), "size", "doc_id")
-    groups = thin.groupBy("g").agg(F.sum("size").alias("bytes"), F.min("doc_id").alias("first_id"))
+    rows = docs.withColumns(
+        {"size": text_size(), "text_crc32": F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")), "_cairn_g": text_group(), "_cairn_r": F.monotonically_increasing_id()}
+    )
+    rows = C.stash(rows.select(*dict.fromkeys([*keep, "doc_id"]), "size", "text_crc32", "_cairn_g", "_cairn_r"))  # written, so that a row keeps its number
+    thin = rows.select("_cairn_r", "doc_id", "text_crc32", "size", "_cairn_g")
+    groups = thin.select(F.col("_cairn_g").alias("g"), "size", "doc_id").groupBy("g").agg(F.sum("size").alias("bytes"), F.min("doc_id").alias("first_id"))
     dealt = group_shards(groups, shards).withColumnRenamed("g", "_cairn_g")
-    placed = rows.join(dealt, "_cairn_g")
-    placed = C.global_positions(placed, ["doc_id", "text_crc32", "size", "_cairn_g"], within="shard", name="slot").drop("_cairn_g")
-    return placed.select(*keep, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    placed = C.global_positions(thin.join(dealt, "_cairn_g"), ["doc_id", "text_crc32", "size", "_cairn_g"], within="shard", name="slot")
+    if set(keep) <= {"doc_id"}:
+        out = placed
+    else:
+        out = rows.join(C.small(C.stash(placed.select("_cairn_r", "shard", "slot"))), "_cairn_r")  # texts move once, to their places
+    return out.select(*keep, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
