@@ -31,9 +31,12 @@ WORD_TABLE = bytes(
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder name below the session's shared checkpoint folder; a temporary one only where that is unset."""
+    """A new folder name below the session's shared checkpoint folder. Where that is unset, a temporary one on a single
+    machine; on a cluster, whose machines would not see it, an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="cairn-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/cairn-{uuid.uuid4().hex}"
@@ -42,7 +45,8 @@ def scratch(spark: SparkSession) -> str:
 def stash(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and returns a reader of it: lineage ends there and lost executors lose nothing.
 
-    What earlier steps shuffled is garbage from then on; collecting it lets Spark's cleaner delete those files.
+    What earlier steps shuffled is garbage from then on. Spark's cleaner deletes those files only once the driver's JVM has
+    collected their handles, which Python's may still hold, and a driver with memory to spare would not for hours.
     """
     spark = df.sparkSession
     path = scratch(spark)
