@@ -121,9 +121,9 @@ def _windows(batches, window: int):
     """The windows of the units that a document stands for."""
     memo = C.WordHash()
     for batch in C.chunks(batches):
-        for text, units in zip(batch.column("text"), batch.column("units")):
+        for rk, text, units in zip(batch.column("rk").to_pylist(), batch.column("text"), batch.column("units")):
             rows = units.values
-            start, n_win, seed, unit, home, c = (rows.field(k).to_numpy(zero_copy_only=False) for k in ("start", "n_win", "seed", "unit", "home", "c"))
+            start, n_win, seed, unit, c = (rows.field(k).to_numpy(zero_copy_only=False) for k in ("start", "n_win", "seed", "unit", "c"))
             which = np.repeat(np.arange(len(start)), n_win)
             idx = np.arange(len(which)) - np.repeat(np.cumsum(n_win) - n_win, n_win)
             h = memo.of(C.space_words(text.as_py()))
@@ -133,8 +133,8 @@ def _windows(batches, window: int):
                 if len(inside):
                     wh[inside] = RangeHash(h[at : at + PIECE_WORDS + window - 1]).of(first[inside] - at, window)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(seed[which]), pa.array(unit[which]), pa.array(home[which]), pa.array(idx.astype(np.int32)), pa.array(C.signed(wh)), pa.array(c[which])],
-                names=["seed", "unit", "own", "idx", "wh", "c"],
+                [pa.array(x) for x in (seed[which], unit[which], np.full(len(which), rk), (start[which] // HOME_WORDS).astype(np.int32), idx.astype(np.int32), C.signed(wh), c[which])],
+                names=["seed", "unit", "rk", "chunk", "idx", "wh", "c"],
             )
 
 
@@ -226,33 +226,30 @@ class Shard:
 
     def __init__(self, window: int):
         self.window, self.automata, self.compiled = window, PhraseAutomata(window), False
+        self.met: set[int] = set()
 
     def stream(self, rk: int, start: int, words: list[bytes]) -> list[tuple[int, int, int]]:
         """(document, from, to) of the words that phrases met here cover."""
         if not self.compiled:
             self.automata.compile()
             self.compiled = True
-            at = np.array(self.automata.places, np.int64).reshape(-1, 2)
-            self.rk, self.at, self.met = at[:, 0], at[:, 1], np.zeros(len(at), bool)
-        found = self.automata.find(words)
-        if not found:
-            return []
-        last, phrase = np.array(found, np.int64).T
-        first = start + last - (self.window - 1)
-        away = (self.rk[phrase] != rk) | (self.at[phrase] != first)
-        self.met[phrase[away]] = True
-        first = np.unique(first[away])
-        if not len(first):
-            return []
-        new = np.flatnonzero(np.r_[True, np.diff(first) > self.window])
-        ends = first[np.r_[new[1:] - 1, len(first) - 1]] + self.window
-        return [(rk, int(a), int(b)) for a, b in zip(first[new], ends)]
+        out, lo, hi, places, window = [], 0, -1, self.automata.places, self.window
+        for last, phrase in sorted(self.automata.find(words)):
+            first = start + last - (window - 1)
+            if places[phrase] != (rk, first):
+                self.met.add(phrase)
+                if first > hi:
+                    if hi >= 0:
+                        out.append((rk, lo, hi))
+                    lo = first
+                hi = first + window
+        if hi >= 0:
+            out.append((rk, lo, hi))
+        return out
 
     def origins(self) -> list[tuple[int, int, int]]:
         """The places that the phrases met elsewhere were read off."""
-        if not self.compiled:
-            return []
-        return [(int(self.rk[i]), int(self.at[i]), int(self.at[i]) + self.window) for i in np.flatnonzero(self.met)]
+        return [(rk, at, at + self.window) for rk, at in map(self.automata.places.__getitem__, self.met)]
 
 
 def _stream(batches, window: int):
@@ -310,19 +307,20 @@ def candidates(docs: DataFrame, window: int, q: int) -> tuple[DataFrame, DataFra
     twice = C.stash(every.groupBy("seed").agg(F.count("*").alias("t")).where("t > 1").select("seed"))  # written, so that a hot seed's side of the join can be split
     spots = C.stash(every.join(twice, "seed"))
     C.discard(every, twice)
-    once = C.stash(spots.groupBy("seed", "unit").agg(F.count("*").alias("c"), F.first("n_win").alias("n_win"), F.first("rk").alias("rk"), F.first("start").alias("start")))
+    once = C.stash(spots.groupBy("seed", "unit").agg(F.count("*").alias("c"), F.first("n_win").alias("n_win"), F.min("rk").alias("rk"), F.min_by("start", "rk").alias("start")))
     seeds = C.stash(once.groupBy("seed").agg(F.count("*").alias("u")))
-    home = F.xxhash64("rk", (F.col("start") / HOME_WORDS).cast("int")).alias("home")
-    units = C.stash(once.join(seeds, "seed").select("seed", "unit", "n_win", "c", "rk", "start", "u", home))
+    home = F.xxhash64("rk", "chunk").alias("home")  # the first of the documents that hold it, so that copies share their homes
+    units = C.stash(once.join(seeds, "seed").withColumn("chunk", (F.col("start") / HOME_WORDS).cast("int")))
     C.discard(once, seeds)
-    stand = C.stash(units.where("u > 1").groupBy("rk").agg(F.collect_list(F.struct("seed", "unit", "home", "start", "n_win", "c")).alias("units")))
-    texts = docs.select("rk", "text").join(C.small(stand.select("rk")), "rk", "left_semi").join(stand, "rk").select("text", "units")
-    seen = C.stash(texts.mapInArrow(partial(_windows, window=window), "seed long, unit long, own long, idx int, wh long, c long"))
+    stand = C.stash(units.where("u > 1").groupBy("rk").agg(F.collect_list(F.struct("seed", "unit", "start", "n_win", "c")).alias("units")))
+    texts = docs.select("rk", "text").join(C.small(stand.select("rk")), "rk", "left_semi").join(stand, "rk")
+    seen = C.stash(texts.mapInArrow(partial(_windows, window=window), "seed long, unit long, rk long, chunk int, idx int, wh long, c long"))
     C.discard(stand)
-    several = seen.groupBy("seed", "wh").agg(F.sum("c").alias("t"), F.min("own").alias("home")).where("t > 1").drop("t")
-    bits = seen.join(several, ["seed", "wh"]).groupBy("seed", "unit", "home").agg(F.bit_or(F.expr("shiftleft(1L, idx)")).alias("mask"))
+    several = seen.groupBy("seed", "wh").agg(F.sum("c").alias("t"), F.min("rk").alias("rk"), F.min_by("chunk", "rk").alias("chunk")).where("t > 1")
+    several = several.select("seed", "wh", home)
+    bits = seen.select("seed", "unit", "idx", "wh").join(several, ["seed", "wh"]).groupBy("seed", "unit", "home").agg(F.bit_or(F.expr("shiftleft(1L, idx)")).alias("mask"))
     stands = units.select("seed", "unit", F.col("rk").alias("o_rk"), F.col("start").alias("o_start"))
-    whole = units.where("u = 1").select("seed", "unit", "home", F.lit(-1).cast("long").alias("mask"))  # the one unit of a recurring seed recurs itself
+    whole = units.where("u = 1").select("seed", "unit", home, F.lit(-1).cast("long").alias("mask"))  # the one unit of a recurring seed recurs itself
     runs = C.stash(bits.union(whole).join(stands, ["seed", "unit"]))
     C.discard(units, seen)
     return spots, runs
