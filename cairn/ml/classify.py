@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Estimator, Pipeline
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml import Estimator, Pipeline, Transformer
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import Binarizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.plans.materialize import materialize
+
 
 def make_classifier(name: str, **params) -> Estimator:
     """svm, rf, erf, nb or sgd, reading the vector column `features` and `label`.
 
     erf stands for extremely randomised trees, which Spark lacks: a forest without bootstrap on random feature subsets.
-    sgd is logistic loss with elasticNetParam (0: L2, 1: L1) instead of hinge loss. nb works on features above 0.
+    sgd is logistic loss with elasticNetParam (0: L2, 1: L1) instead of hinge loss. nb works on features above 0, or with
+    embedding=True on the leaves of a forest that rows fall into (its parameters: trees, depth, seed).
     """
     if name == "svm":
         return OneVsRest(classifier=LinearSVC(**params))
@@ -22,6 +30,9 @@ def make_classifier(name: str, **params) -> Estimator:
         return RandomForestClassifier(**({"numTrees": 30, "seed": 1} | params))
     if name == "erf":
         return RandomForestClassifier(**({"numTrees": 30, "impurity": "gini", "bootstrap": False, "featureSubsetStrategy": "sqrt", "seed": 1} | params))
+    if name == "nb" and params.pop("embedding", False):
+        own = {p: params.pop(p) for p in ("trees", "depth", "seed") if p in params}
+        return Pipeline(stages=[*random_trees_embedding(**own), NaiveBayes(modelType="bernoulli", featuresCol="_on", **params)])
     if name == "nb":
         return Pipeline(stages=[Binarizer(inputCol="features", outputCol="_on", threshold=0.0), NaiveBayes(modelType="bernoulli", featuresCol="_on", **params)])
     if name == "sgd":
@@ -29,19 +40,70 @@ def make_classifier(name: str, **params) -> Estimator:
     raise ValueError(f"unknown classifier: {name}")
 
 
+class LeafIndicators(Transformer):
+    """Which leaf of each tree of a forest a row falls into: the leaf numbers in _leaf as a vector of zeros and ones."""
+
+    def __init__(self, leaves: int):
+        super().__init__()
+        self.leaves = leaves
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        each = F.transform(vector_to_array("_leaf"), lambda v: F.transform(F.sequence(F.lit(0), F.lit(self.leaves - 1)), lambda j: (v == j).cast("double")))
+        return dataset.withColumn("_on", array_to_vector(F.flatten(each))).drop("prediction", "probability", "rawPrediction")
+
+
+def random_trees_embedding(trees: int = 10, depth: int = 5, seed: int = 1) -> list:
+    """Stages that turn features into leaf indicators of a forest on random feature subsets."""
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, leafCol="_leaf", bootstrap=False, featureSubsetStrategy="sqrt", seed=seed)
+    return [forest, LeafIndicators(2**depth)]
+
+
 def as_features(df: DataFrame) -> DataFrame:
     """Adds the vector column `features` from the array column feats, NaN and null as 0."""
     return df.withColumn("features", array_to_vector(F.transform("feats", lambda v: F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0)))))
 
 
-def knn(train: DataFrame, rows: DataFrame, k: int = 5, max_train: int = 100_000) -> DataFrame:
+def _nearest(batches: Iterator[pa.RecordBatch], shared, k: int) -> Iterator[pa.RecordBatch]:
+    ids, labels, feats = shared.value
+    for batch in batches:
+        x = batch.column("feats").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        for lo in range(0, len(x), 64):
+            some = x[lo : lo + 64]
+            d2 = np.concatenate([((some[:, None, :] - feats[None, a : a + 2048, :]) ** 2).sum(-1) for a in range(0, len(feats), 2048)], axis=1)
+            best = np.lexsort((np.broadcast_to(ids, d2.shape), d2), axis=1)[:, :k]
+            n = best.shape[1]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").slice(lo, len(some)).take(np.repeat(np.arange(len(some)), n)), pa.array(ids[best].ravel()), pa.array(labels[best].ravel()), pa.array(np.take_along_axis(d2, best, 1).ravel())],
+                names=["id", "tid", "label", "d2"],
+            )
+
+
+def knn(train: DataFrame, rows: DataFrame, k: int = 5, block_bytes: int = 64_000_000) -> DataFrame:
     """train(id, label, feats), rows(id, feats) -> (id, label): the majority among the k nearest by Euclidean distance,
-    ties to the smaller label. The training side is counted and broadcast; more than max_train rows: ValueError."""
-    if train.limit(max_train + 1).count() > max_train:
-        raise ValueError(f"knn takes at most {max_train} training rows")
-    t = train.select(F.col("id").alias("tid"), "label", F.col("feats").alias("tf"))
-    d2 = F.aggregate(F.zip_with("feats", "tf", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
-    near = rows.select("id", "feats").crossJoin(F.broadcast(t)).select("id", "label", "tid", d2.alias("d2"))
+    ties to the smaller id, then the smaller label. All feats have one length; null or non-finite entries count as 0.
+
+    The training side is counted and searched in blocks of about block_bytes, one after another: what is broadcast is
+    bounded, each row keeps k candidates a block, and there is no limit to the training rows.
+    """
+    spark = rows.sparkSession
+    clean = F.transform("feats", lambda v: F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), 0.0).otherwise(v).cast("double")).alias("feats")
+    known = train.where("label is not null").select("id", F.col("label").cast("int").alias("label"), clean)
+    size = known.agg(F.count("*").alias("n"), F.max(F.size("feats")).alias("w")).first()
+    blocks = max(1, -(-8 * size["n"] * (size["w"] or 0) // block_bytes))
+    near = None
+    for b in range(blocks):
+        got = known.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()
+        if not got.num_rows:
+            continue
+        feats = got.column("feats").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(got.num_rows, -1)
+        shared = spark.sparkContext.broadcast((got.column("id").to_numpy(), got.column("label").to_numpy(), feats))
+        one = rows.select("id", clean).mapInArrow(partial(_nearest, shared=shared, k=k), "id long, tid long, label int, d2 double")
+        if blocks > 1:
+            one = materialize(one)
+            shared.unpersist()
+        near = one if near is None else near.union(one)
+    if near is None:
+        return spark.createDataFrame([], "id long, label int")
     w = Window.partitionBy("id").orderBy("d2", "tid")
     votes = near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).groupBy("id", "label").agg(F.count("*").alias("n"))
     return votes.groupBy("id").agg(F.max(F.struct("n", (-F.col("label")).alias("l"))).alias("b")).select("id", (-F.col("b.l")).cast("int").alias("label"))

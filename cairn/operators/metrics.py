@@ -67,3 +67,10 @@ def format_confusion(conf: DataFrame) -> str:
     cells = {(r["assigned"], r["known"]): r["n"] for r in conf.collect()}
     size = 1 + max((a for a, _ in cells), default=-1)
     return "\n".join(" ".join(f"{cells.get((a, k), 0):>8}" for k in range(size)) for a in range(size))
+
+
+def format_three(metrics: DataFrame) -> str:
+    """three_metrics as printable lines, in percent with two decimals; a row a label, so it is collected."""
+    rows = sorted(metrics.collect(), key=lambda r: r["label"])
+    share = lambda v: "-" if v is None else f"{100 * v:.2f}"
+    return "\n".join(f"{r['label']:>4} {share(r['tp']):>8} {share(r['miss_rate']):>8} {share(r['false_discovery']):>8}" for r in rows)

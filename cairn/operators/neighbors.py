@@ -46,6 +46,27 @@ def radius_join(
     return pairs.where(_within(radius, metric, inclusive, exclude_coincident))
 
 
+def scales_join(query: DataFrame, searches: list[tuple[DataFrame, float]], inclusive: bool = True, exclude_coincident: bool = False) -> DataFrame:
+    """query(id, x, y, z) with several search sides (x, y, z), each of its own radius -> (qid, scale, dx, dy, dz).
+
+    The sides are one table with the scale's number as part of the join key, so that all scales share one shuffle; cells
+    and distances follow each row's radius.
+    """
+    radii = F.array(*(F.lit(float(r)) for _, r in searches))
+    q = query.select(F.col("id").alias("qid"), *(F.col(c).alias(f"q{c}") for c in XYZ), F.posexplode(radii).alias("scale", "r"))
+    q = q.withColumns({f"g{c}": F.floor(F.col(f"q{c}") / F.col("r")).cast("long") for c in XYZ})
+    s = None
+    for k, (search, r) in enumerate(searches):
+        one = search.select(F.lit(k).alias("scale"), *(F.col(c).alias(f"s{c}") for c in XYZ), *(F.floor(F.col(c) / F.lit(float(r))).cast("long").alias(f"g{c}") for c in XYZ))
+        s = one if s is None else s.union(one)
+    for c in XYZ:
+        s = s.withColumn("_o", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(f"g{c}", F.col(f"g{c}") + F.col("_o")).drop("_o")
+    pairs = q.join(s, ["scale", "gx", "gy", "gz"]).select("qid", "scale", "r", *((F.col(f"s{c}") - F.col(f"q{c}")).alias(f"d{c}") for c in XYZ))
+    d2, limit = squared_norm(*(F.col(f"d{c}") for c in XYZ)), F.col("r") * F.col("r")
+    near = d2 <= limit if inclusive else d2 < limit
+    return pairs.where(near & (d2 > COINCIDENT * COINCIDENT) if exclude_coincident else near).drop("r")
+
+
 def distance_matrix(query: DataFrame, search: DataFrame, metric: str = "euclid", max_search: int | None = None) -> DataFrame:
     """(qid, sid, dist) of every query row with every search row, as a stated set against all rows.
 

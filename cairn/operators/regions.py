@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import itertools
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.cloud import XYZ
 from cairn.functions.geometry import chebyshev, squared_norm
-from cairn.plans.materialize import ranked
+from cairn.plans.materialize import materialize, ranked
 
 
 def in_box(low: tuple, high: tuple, buffer: float = 0.0, bounds: str = "closed") -> Column:
@@ -69,29 +70,106 @@ def octants(query: DataFrame, search: DataFrame, low: tuple, edge: float, buffer
     return query.where(inside).withColumn("octant", octant), search.withColumn("octant", F.explode(near))
 
 
-def octree_leaves(points: DataFrame, max_points: int, min_points: int = 1, max_level: int = 10) -> DataFrame:
-    """Leaves (level, ix, iy, iz, n) of the octree around the mean: a cell is split while it holds more than max_points
-    and is above max_level; the root is always split; leaves of fewer than min_points are left out.
+@dataclass(frozen=True)
+class OctreeRoot:
+    """The cube around a cloud's mean that an octree divides: its lowest corner and half of its edge."""
 
-    One aggregate counts all cells of a level at a time, combined before the shuffle; levels are few.
+    low: tuple[float, float, float]
+    radius: float
+
+    @classmethod
+    def of(cls, points: DataFrame) -> OctreeRoot | None:
+        """None if there are no points."""
+        row = points.agg(*(F.avg(c).alias(c) for c in XYZ)).first()
+        if row["x"] is None:
+            return None
+        far = points.agg(*(F.max(F.abs(F.col(c) - F.lit(row[c]))).alias(c) for c in XYZ)).first()
+        radius = max(far) * (1 + 1e-9) + 1e-12
+        return cls(tuple(row[c] - radius for c in XYZ), radius)
+
+    def index(self, column: Column, axis: int, level: Column) -> Column:
+        return F.floor((column - F.lit(self.low[axis])) / (F.lit(2 * self.radius) / F.pow(F.lit(2.0), level))).cast("long")
+
+
+def _levels(first: int, last: int) -> Column:
+    return F.explode(F.sequence(F.lit(first), F.lit(last)))
+
+
+def _buffered(points: DataFrame, root: OctreeRoot, buffer: float, last: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(level, ix, iy, iz, carried columns): each point once for each cell whose box, grown by buffer, holds it."""
+    out = points.select(*carry, *XYZ, _levels(1, last).alias("level"))
+    top = F.pow(F.lit(2.0), F.col("level")).cast("long") - 1
+    for axis, c in enumerate(XYZ):
+        a, b = (root.index(F.col(c) + F.lit(d), axis, F.col("level")) for d in (-buffer, buffer))
+        out = out.withColumns({"_a": F.greatest(a, F.lit(0).cast("long")), "_b": F.least(b, top)}).where("_a <= _b")
+        out = out.withColumn(f"i{c}", F.explode(F.sequence("_a", "_b")))
+    return out.select("level", "ix", "iy", "iz", *carry)
+
+
+def octree_leaves(
+    points: DataFrame, max_points: int, min_points: int = 1, max_level: int = 10, search: DataFrame | None = None, buffer: float = 0.0, min_radius: float | None = None,
+    root: OctreeRoot | None = None,
+) -> DataFrame:
+    """Leaves (level, ix, iy, iz, n) of the octree around the mean: a cell is split while its population exceeds
+    max_points, it is above max_level and half its radius (half its edge) is at least min_radius, if that is given. The
+    root is always split; leaves of fewer than min_points points are left out.
+
+    The population is the cell's own points, n; with a search cloud, the search points in the cell's box grown by buffer,
+    which then is a column too. One aggregate counts the cells of all levels, combined before the shuffle.
     """
-    row = points.agg(*(F.avg(c).alias(c) for c in XYZ)).first()
-    if row["x"] is None:
-        return points.sparkSession.createDataFrame([], "level int, ix long, iy long, iz long, n long")
-    far = points.agg(*(F.max(F.abs(F.col(c) - F.lit(row[c]))).alias(c) for c in XYZ)).first()
-    radius = max(far) * (1 + 1e-9) + 1e-12
-    low = {c: row[c] - radius for c in XYZ}
-    cells = points.select(*(F.floor((F.col(c) - F.lit(low[c])) / F.lit(2 * radius / 2**max_level)).cast("long").alias(f"i{c}") for c in XYZ))
-    finest = cells.groupBy("ix", "iy", "iz").agg(F.count("*").alias("n"))
-    counts = None
-    for level in range(1, max_level + 1):
-        one = finest.groupBy(*(F.shiftright(f"i{c}", max_level - level).alias(f"i{c}") for c in XYZ)).agg(F.sum("n").cast("long").alias("n"))
-        one = one.select(F.lit(level).alias("level"), "ix", "iy", "iz", "n")
-        counts = one if counts is None else counts.union(one)
-    parent = counts.select((F.col("level") + 1).alias("level"), F.col("ix").alias("px"), F.col("iy").alias("py"), F.col("iz").alias("pz"), F.col("n").alias("above"))
+    columns = ["level", "ix", "iy", "iz", "n", *(["population"] if search is not None else [])]
+    root = root or OctreeRoot.of(points)
+    if root is None:
+        return points.sparkSession.createDataFrame([], ", ".join(f"{c} {'int' if c == 'level' else 'long'}" for c in columns))
+    cells = points.select(*(F.floor((F.col(c) - F.lit(v)) / F.lit(2 * root.radius / 2**max_level)).cast("long").alias(f"i{c}") for c, v in zip(XYZ, root.low)))
+    every = cells.groupBy("ix", "iy", "iz").agg(F.count("*").alias("n")).select("n", "ix", "iy", "iz", _levels(1, max_level).alias("level"))
+    above = {f"i{c}": F.expr(f"shiftright(i{c}, {max_level} - level)") for c in XYZ}
+    counts = every.withColumns(above).groupBy("level", "ix", "iy", "iz").agg(F.sum("n").cast("long").alias("n"))
+    if search is None:
+        counts = counts.withColumn("population", F.col("n"))
+    else:
+        around = _buffered(search, root, buffer, max_level).groupBy("level", "ix", "iy", "iz").agg(F.count("*").alias("population"))
+        counts = counts.join(around, ["level", "ix", "iy", "iz"], "left").withColumn("population", F.coalesce("population", F.lit(0)).cast("long"))
+    whole = (F.col("population") <= max_points) | (F.col("level") == max_level)
+    if min_radius is not None:
+        whole = whole | (F.lit(root.radius) / F.pow(F.lit(2.0), F.col("level")) / 2 < min_radius)
+    counts = materialize(counts.withColumn("whole", whole))
+    parent = counts.select((F.col("level") + 1).alias("level"), F.col("ix").alias("px"), F.col("iy").alias("py"), F.col("iz").alias("pz"), F.col("whole").alias("done"))
     child = counts.withColumns({f"p{c}": F.shiftright(f"i{c}", 1) for c in XYZ}).join(parent, ["level", "px", "py", "pz"], "left")
-    leaf = ((F.col("n") <= max_points) | (F.col("level") == max_level)) & (F.col("above").isNull() | (F.col("above") > max_points))
-    return child.where(leaf & (F.col("n") >= min_points)).select("level", "ix", "iy", "iz", "n")
+    return child.where(F.col("whole") & ~F.coalesce("done", F.lit(False)) & (F.col("n") >= min_points)).select(*columns)
+
+
+def partition_rows(query: DataFrame, search: DataFrame, leaves: DataFrame, root: OctreeRoot, buffer: float) -> tuple[DataFrame, DataFrame]:
+    """The query points with the leaf (level, ix, iy, iz) that holds them, and the search points once for each leaf whose
+    box, grown by buffer, holds them; points of no leaf go. Equi-joins on the cell, for all levels that leaves have."""
+    if buffer < 0:
+        raise ValueError("the buffer must not be negative")
+    key = ["level", "ix", "iy", "iz"]
+    last = leaves.agg(F.max("level")).first()[0] or 0
+    leaves = leaves.select(*key)
+    if not last:
+        return (query.crossJoin(leaves.limit(0)), search.crossJoin(leaves.limit(0)))  # both empty
+    own = query.select("*", _levels(1, last).alias("level"))
+    own = own.withColumns({f"i{c}": root.index(F.col(c), axis, F.col("level")) for axis, c in enumerate(XYZ)})
+    near = _buffered(search.withColumn("_row", F.struct(*search.columns)), root, buffer, last, ("_row",))
+    return own.join(leaves, key).select(*query.columns, *key), near.join(leaves, key).select("_row.*", *key)
+
+
+def rigid_edge(points: DataFrame, max_points: int, start: float, shrink: float = 0.95, min_edge: float = 0.0) -> float:
+    """The edge of cubes that hold at most max_points points each: from start on, the edge shrinks by shrink to the power
+    of the fullest cube's excess (population over max_points). ValueError if it would fall below min_edge.
+
+    Each try is one aggregate, combined before the shuffle; coincident points beyond max_points can't be parted, so a
+    min_edge above zero ends the search for them.
+    """
+    edge, least = start, min_edge or start * 1e-9
+    while True:
+        fullest = rigid_leaves(points, edge).agg(F.max("n")).first()[0] or 0
+        if fullest <= max_points:
+            return edge
+        edge *= shrink ** min(fullest / max_points, 20.0)
+        if edge < least:
+            raise ValueError(f"cubes of edge {least} still hold more than {max_points} points")
 
 
 def rigid_leaves(points: DataFrame, edge: float, min_points: int = 1) -> DataFrame:

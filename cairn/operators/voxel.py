@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from cairn.cloud import XYZ
 
 
-def axis_index(column: Column, low: float, edge: float) -> Column:
-    """Voxel index on one axis of a grid whose first voxel is centred on the smallest coordinate."""
+def axis_index(column: Column, low: float, edge: float, ties: str = "up") -> Column:
+    """Voxel index on one axis of a grid whose first voxel is centred on the smallest coordinate. ties: where a point just
+    between two voxels goes, "up" or to the one of "even" index."""
+    if ties == "even":
+        return F.rint((column - F.lit(low)) / F.lit(edge)).cast("long")
     return F.floor((column - F.lit(low - edge / 2)) / F.lit(edge)).cast("long")
 
 
@@ -84,8 +87,8 @@ class VoxelGrid:
         return [(i * F.lit(self.edge) + F.lit(c + self.edge / 2)).alias(a) for i, c, a in zip(indices, self.min_corner, self.axes)]
 
 
-def with_cells(df: DataFrame, edge: float, low: tuple[float, float, float]) -> DataFrame:
-    return df.withColumns({f"i{c}": axis_index(F.col(c), v, edge) for c, v in zip(XYZ, low)})
+def with_cells(df: DataFrame, edge: float, low: tuple[float, float, float], ties: str = "up") -> DataFrame:
+    return df.withColumns({f"i{c}": axis_index(F.col(c), v, edge, ties) for c, v in zip(XYZ, low)})
 
 
 def corner_of(df: DataFrame) -> tuple[float, float, float] | None:
@@ -93,12 +96,13 @@ def corner_of(df: DataFrame) -> tuple[float, float, float] | None:
     return None if row["x"] is None else tuple(row)
 
 
-def unique_voxels(df: DataFrame, edge: float) -> DataFrame:
-    """Centres (x, y, z) of the voxels that hold a point; partial distinct before the only shuffle."""
-    low = corner_of(df)
+def unique_voxels(df: DataFrame, edge: float, low: tuple[float, float, float] | None = None, ties: str = "up") -> DataFrame:
+    """Centres (x, y, z) of the voxels that hold a point; partial distinct before the only shuffle. low: the cloud's
+    smallest coordinates, where they are known already."""
+    low = low or corner_of(df)
     if low is None:
         return df.select(*XYZ)
-    cells = with_cells(df.select(*XYZ), edge, low).select("ix", "iy", "iz").distinct()
+    cells = with_cells(df.select(*XYZ), edge, low, ties).select("ix", "iy", "iz").distinct()
     return cells.select(*((F.lit(v) + F.col(f"i{c}") * F.lit(edge)).alias(c) for c, v in zip(XYZ, low)))
 
 

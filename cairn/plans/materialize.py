@@ -5,18 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df below spark.checkpoint.dir (a temporary folder only where that is unset) and returns its reader."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new folder name below spark.checkpoint.dir. Where that is unset, below a temporary folder on a single machine; on
+    a cluster, whose machines would not see it, an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="cairn-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/cairn-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/cairn-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Writes df below spark.checkpoint.dir and returns its reader."""
+    spark = df.sparkSession
+    path = scratch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

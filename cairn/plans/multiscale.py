@@ -10,22 +10,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.cloud import XYZ
-from cairn.functions.geometry import UPPER, squared_norm
+from cairn.functions.geometry import UPPER, ball_volume_cm3, squared_norm
 from cairn.operators import features as G
-from cairn.operators.neighbors import COINCIDENT, radius_join
-from cairn.operators.voxel import unique_voxels
+from cairn.operators.neighbors import COINCIDENT, radius_join, scales_join
+from cairn.operators.voxel import corner_of, unique_voxels
 
+#: Where the profiles put points just between two voxels.
+TIES = {"minimal": "up", "gpu": "even"}
 RULES = {"minimal": dict(inclusive=True, exclude_coincident=False), "gpu": dict(inclusive=False, exclude_coincident=True)}
 
 
-def resample(search: DataFrame, edge: float) -> DataFrame:
+def resample(search: DataFrame, edge: float, low: tuple | None = None, ties: str = "up") -> DataFrame:
     """Voxel centres, which bound the neighbours of a point; edge 0: the points themselves."""
-    return unique_voxels(search, edge) if edge else search.select(*XYZ)
+    return unique_voxels(search, edge, low, ties) if edge else search.select(*XYZ)
 
 
 def one_scale(query: DataFrame, search: DataFrame, edge: float, radius: float, profile: str = "minimal") -> DataFrame:
     """(qid, population or density, centroid, eig1, eig2) for each query point."""
-    pairs = radius_join(query, resample(search, edge), radius, **RULES[profile])
+    pairs = radius_join(query, resample(search, edge, ties=TIES[profile]), radius, **RULES[profile])
     grouped = G.attach(query, pairs.groupBy("qid").agg(*G.neighborhood_sums(pairs), *G.registered_sums(radius)))
     first = G.population().alias("population") if profile == "minimal" else G.density(radius).alias("density")
     rows = G.with_pca(grouped, ("eig1", "eig2", "eig3"))
@@ -33,15 +35,29 @@ def one_scale(query: DataFrame, search: DataFrame, edge: float, radius: float, p
 
 
 def multiscale(query: DataFrame, search: DataFrame, edges: list[float], radii: list[float], profile: str = "minimal") -> DataFrame:
-    """one_scale for each (edge, radius), side by side: s0_population, s0_centroid, s0_eig1, s0_eig2, s1_... in order."""
+    """one_scale for each (edge, radius), side by side: s0_population, s0_centroid, s0_eig1, s0_eig2, s1_... in order.
+
+    All scales share one join and one aggregate; each distinct edge is resampled once, from one corner.
+    """
     if len(edges) != len(radii):
         raise ValueError("as many edges as radii are needed")
-    out = None
-    for k, (edge, radius) in enumerate(zip(edges, radii)):
-        one = one_scale(query, search, edge, radius, profile)
-        one = one.select("qid", *(F.col(c).alias(f"s{k}_{c}") for c in one.columns[1:]))
-        out = one if out is None else out.join(one, "qid")
-    return out
+    low = corner_of(search) if any(edges) else None
+    sides = [(resample(search, edge, low, TIES[profile]), radius) for edge, radius in zip(edges, radii)]
+    pairs = scales_join(query, sides, **RULES[profile])
+    own = [c for k, r in enumerate(radii) for c in G.registered_sums(r, f"s{k}_")]
+    rows = G.with_pca(pairs.groupBy("qid", "scale").agg(*G.neighborhood_sums(pairs), *own), ("eig1", "eig2", "eig3"))
+    rows = rows.withColumns({"centroid": G.centroid_distance(), "population": G.population()})
+    last = ["population", "centroid", "eig1", "eig2"]
+    wide = {f"s{k}_{c}": F.max(F.when(F.col("scale") == k, F.col(c))) for k in range(len(radii)) for c in last}
+    wide |= {f"s{k}_{c}": F.max(F.when(F.col("scale") == k, F.col(f"s{k}_{c}"))) for k in range(len(radii)) for c in G.REGISTERED}
+    grouped = G.attach(query, rows.groupBy("qid").agg(*(v.alias(k) for k, v in wide.items())))
+    out = []
+    for k, r in enumerate(radii):
+        n = F.coalesce(F.col(f"s{k}_population"), F.lit(0)).cast("long")
+        out.append(n.alias(f"s{k}_population") if profile == "minimal" else (n / F.lit(ball_volume_cm3(r))).alias(f"s{k}_density"))
+        out += [F.coalesce(F.col(f"s{k}_{c}"), F.lit(0.0)).alias(f"s{k}_{c}") for c in last[1:]]
+        out += [F.col(f"s{k}_{c}") for c in G.REGISTERED]
+    return grouped.select("qid", *out)
 
 
 def multi_radius(query: DataFrame, search: DataFrame, edge: float, radii: list[float], kind: str = "eig", profile: str = "gpu") -> DataFrame:
@@ -51,7 +67,7 @@ def multi_radius(query: DataFrame, search: DataFrame, edge: float, radii: list[f
     density, centroid and the six covariances (scatter sums).
     """
     radii = sorted(radii, reverse=True)
-    pairs = radius_join(query, resample(search, edge), radii[0], **RULES[profile])
+    pairs = radius_join(query, resample(search, edge, ties=TIES[profile]), radii[0], **RULES[profile])
     d2 = squared_norm(*(F.col(f"d{c}") for c in XYZ))
     inside = [d2 <= r * r if profile == "minimal" else d2 < r * r for r in radii]
     sums = []

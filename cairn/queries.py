@@ -16,9 +16,15 @@ from cairn.operators import features as G
 from cairn.operators import voxel as V
 from cairn.operators.neighbors import distance_matrix, radius_join
 from cairn.plans import multiscale as M
+from cairn.plans.archive import archive_features
+from cairn.plans.materialize import scratch
+from cairn.sources.store import CloudStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Added before a value is rounded.
+TIE = 1e-9
+
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
@@ -33,7 +39,7 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = sql.strip()
+            SQL[f.__name__] = sql.strip().replace("round(", f"round({TIE} + ")
         return f
 
     return add
@@ -117,8 +123,9 @@ def _eigen(source: str = "g") -> str:
 
 
 def _r(column, places: int = 6):
-    """Rounded, and never minus zero, so that engines which sum in another order agree."""
-    return F.round(column, places) + F.lit(0.0)
+    """Rounded, and never minus zero, off the ties that grids lead to, so that engines which sum in another order agree;
+    register() moves the SQL's values in the same way."""
+    return F.round(column + F.lit(TIE), places) + F.lit(0.0)
 
 
 def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
@@ -207,19 +214,22 @@ def radius_pairs_strict(spark, sf_dir):
     return rounded(pairs.groupBy("qid").agg(F.count("*").alias("n"), F.sum("dx").alias("dx")), "dx")
 
 
-@register(P + " SELECT q.id AS qid, s.id AS sid, round(greatest(abs(s.x-q.x), abs(s.y-q.y), abs(s.z-q.z)), 6) AS dist FROM p q, p s WHERE q.label = 0 AND s.label = 1")
-def distance_matrix_cheby(spark, sf_dir):
-    points = emb(spark, sf_dir)
-    return rounded(distance_matrix(points.where("label = 0"), points.where("label = 1"), "cheby"), "dist")
+_ASKED = " FROM p q, p s WHERE q.id % 50 = 0"
 
 
-@register(P + " SELECT q.id AS qid, s.id AS sid, round(greatest(abs(s.x-q.x), abs(s.y-q.y), abs(s.z-q.z)), 6) AS dist FROM p q, p s WHERE q.id % 50 = 0")
-def distance_matrix_all(spark, sf_dir):
+@register(P + " SELECT q.id AS qid, s.id AS sid, round(greatest(abs(s.x-q.x), abs(s.y-q.y), abs(s.z-q.z)), 6) AS dist" + _ASKED)
+def distance_matrix_cheby(spark, sf_dir):
     """The points whose ids are divisible by 50 against all points."""
     points = emb(spark, sf_dir)
     return rounded(distance_matrix(points.where("id % 50 = 0"), points, "cheby"), "dist")
 
 
+@register(P + " SELECT q.id AS qid, s.id AS sid, round(sqrt((s.x-q.x)*(s.x-q.x) + (s.y-q.y)*(s.y-q.y) + (s.z-q.z)*(s.z-q.z)), 6) AS dist" + _ASKED)
+def distance_matrix_euclid(spark, sf_dir):
+    points = emb(spark, sf_dir)
+    return rounded(distance_matrix(points.where("id % 50 = 0"), points), "dist")
+
+
 _ONE = P + f", {_voxels(EDGE)}, {_pairs(RADIUS)}, {_GROUPED}"
 
 
@@ -273,6 +283,17 @@ def one_scale_lineitem(spark, sf_dir):
     return rounded(M.one_scale(prt(spark, sf_dir), li_search(spark, sf_dir), LI_EDGE, LI_RADIUS).select("qid", "population", "centroid"), "centroid", places=4)
 
 
+_ORD = _LI.replace("SELECT p_partkey AS id, CAST(p_partkey % 50 AS DOUBLE) AS x, p_retailprice / 20 AS y, CAST(p_partkey % 11 AS DOUBLE) AS z FROM part", "SELECT o_orderkey AS id, CAST(o_custkey % 50 AS DOUBLE) AS x, o_totalprice / 5000 AS y, CAST(o_orderkey % 11 AS DOUBLE) AS z FROM orders")
+
+
+@register(f"{_ORD}, {_pairs(LI_RADIUS)}, {_GROUPED}, {_eigen()} SELECT {_ONE_COLS.format(k='').replace(', 6)', ', 4)')} FROM p LEFT JOIN w ON p.id = qid")
+def one_scale_orders(spark, sf_dir):
+    """Orders among the resampled line items: throughput on a larger cloud."""
+    o = _read(spark, sf_dir, "orders")
+    points = PointCloud.of(o, "o_orderkey", F.pmod("o_custkey", F.lit(50)), F.col("o_totalprice") / 5000, F.pmod("o_orderkey", F.lit(11))).df
+    return rounded(M.one_scale(points, li_search(spark, sf_dir), LI_EDGE, LI_RADIUS), "centroid", "eig1", "eig2", places=4)
+
+
 _SECOND = "WITH a AS ({a}), b AS ({b}) SELECT a.*, b.* EXCLUDE (qid) FROM a JOIN b USING (qid)"
 
 
@@ -299,7 +320,6 @@ def _gpu(spark, sf_dir, kind):
     points = emb(spark, sf_dir)
     df = M.multi_radius(points, points, EDGE, list(RADII), kind)
     df = df.withColumns({c: F.col(c) * 1e6 for c in df.columns if c.endswith("density")})
-    df = df.withColumns({c: F.col(c) + 1e-9 for c in df.columns if "_cov_" in c})  # sums of grid steps lie on rounding ties
     return rounded(df, *(c for c in df.columns if c != "qid"))
 
 
@@ -311,7 +331,7 @@ def multi_radius(spark, sf_dir):
     return _gpu(spark, sf_dir, "eig")
 
 
-_COV = ", ".join(f"round(coalesce(c{a}{b} * (n - 1), 0) + 1e-9, 6) + 0.0 AS s{{k}}_cov_{a}{b}" for a, b in UPPER)
+_COV = ", ".join(f"round(coalesce(c{a}{b} * (n - 1), 0), 6) + 0.0 AS s{{k}}_cov_{a}{b}" for a, b in UPPER)
 
 
 @register(_SECOND.format(a=_gpu_sql(0, RADII[0], _COV), b=_gpu_sql(1, RADII[1], _COV)))
@@ -324,6 +344,65 @@ def eigenvector_features(spark, sf_dir):
     return _gpu(spark, sf_dir, "eigvec")
 
 
+@register(P + f", {_voxels(EDGE)}, {_pairs(RADII[0], rule=_GPU.format(r=RADII[0]))}, {_GROUPED}, {_eigen()} SELECT p.id AS qid, coalesce(n >= 2 AND tr > 0, FALSE) AS defined, 0.0::DOUBLE AS residual1, 0.0::DOUBLE AS residual2, 0.0::DOUBLE AS dot FROM p LEFT JOIN w ON p.id = qid")
+def eigenvector_residuals(spark, sf_dir):
+    """Whether the vectors v of a neighbourhood's covariance m fulfil m v = w v for their eigenvalues w and are normal to
+    each other; the z parts, which are not returned, follow from unit length but for a sign."""
+    points = emb(spark, sf_dir)
+    pairs = radius_join(points, V.unique_voxels(points, EDGE, ties="even"), RADII[0], **M.RULES["gpu"])
+    rows = G.attach(points, pairs.groupBy("qid").agg(*G.neighborhood_sums(pairs)))
+    rows = G.with_eigenvectors(G.with_pca(rows, ("w1", "w2", "w3")))
+    cov = {f"{a}{b}": G.covariance(a, b) for a, b in UPPER}
+    rows = rows.withColumns({f"k{k}": v for k, v in cov.items()}).withColumn("tr", F.col("kxx") + F.col("kyy") + F.col("kzz"))
+
+    def error(k: int, sign: int):
+        v = [F.col(f"v{k}x"), F.col(f"v{k}y"), sign * F.sqrt(F.greatest(1 - F.col(f"v{k}x") ** 2 - F.col(f"v{k}y") ** 2, F.lit(0.0)))]
+        m = [("kxx", "kxy", "kxz"), ("kxy", "kyy", "kyz"), ("kxz", "kyz", "kzz")]
+        return F.sqrt(sum((sum(F.col(c) * x for c, x in zip(row, v)) - F.col(f"w{k}") * F.col("tr") * y) ** 2 for row, y in zip(m, v))) / F.col("tr")
+
+    def z(k: int):
+        return F.when(error(k, 1) <= error(k, -1), 1).otherwise(-1) * F.sqrt(F.greatest(1 - F.col(f"v{k}x") ** 2 - F.col(f"v{k}y") ** 2, F.lit(0.0)))
+
+    known = (F.col("n") >= 2) & (F.col("tr") > 0)
+    dot = F.abs(F.col("v1x") * F.col("v2x") + F.col("v1y") * F.col("v2y") + z(1) * z(2))
+    out = {"residual1": F.least(error(1, 1), error(1, -1)), "residual2": F.least(error(2, 1), error(2, -1)), "dot": F.when(F.col("w2") > 0.001, dot)}
+    return rows.select("qid", F.coalesce(known, F.lit(False)).alias("defined"), *(F.round(F.coalesce(F.when(known, v), F.lit(0.0)), 4).alias(c) for c, v in out.items()))
+
+
+_SKIP = "s AS (SELECT id, label FROM p WHERE label < 5 UNION ALL SELECT id, NULL FROM (SELECT id, row_number() OVER (ORDER BY (id % 2147483647 * 48271 + 5) % 2147483647, id) AS r, count(*) OVER () AS n FROM p WHERE label >= 5) WHERE r <= n // 3)"
+
+
+def _archive(spark, sf_dir, kind, **how):
+    """The features of a stored set: points of labels 0 to 4 are labelled, a third of the others takes part."""
+    store = CloudStore(spark, scratch(spark))
+    points = emb(spark, sf_dir)
+    store.ingest(points.select("id", *XYZ))
+    store.add_set("all", points.select("id", F.when(F.col("label") < 5, F.col("label")).alias("label"), "feats"))
+    return archive_features(store, "all", [(EDGE, list(RADII))], kind, skip=3, seed=5, save_as="features", **how)
+
+
+_ARCHIVE = "WITH a AS ({a}), b AS ({b}), c AS ({c}) SELECT c.id, c.label, a.* EXCLUDE (qid), b.* EXCLUDE (qid) FROM c JOIN a ON a.qid = c.id JOIN b ON b.qid = c.id"
+_SAMPLE = P + f", {_SKIP} SELECT id, label FROM s"
+_PARTS = {"eig": ("density", "centroid", "eig1", "eig2"), "cov": ("density", "centroid", *(f"cov_{a}{b}" for a, b in UPPER))}
+
+
+def _archive_query(spark, sf_dir, kind):
+    names = [f"s{k}_{c}" for k in range(len(RADII)) for c in _PARTS[kind]]
+    df = _archive(spark, sf_dir, kind)
+    values = [F.col("feats")[i] * (1e6 if n.endswith("density") else 1.0) for i, n in enumerate(names)]
+    return df.select("id", "label", *(_r(v).alias(n) for v, n in zip(values, names)))
+
+
+@register(_ARCHIVE.format(a=_gpu_sql(0, RADII[0], _EIG), b=_gpu_sql(1, RADII[1], _EIG), c=_SAMPLE))
+def archive_features_eig(spark, sf_dir):
+    return _archive_query(spark, sf_dir, "eig")
+
+
+@register(_ARCHIVE.format(a=_gpu_sql(0, RADII[0], _COV), b=_gpu_sql(1, RADII[1], _COV), c=_SAMPLE))
+def archive_features_cov(spark, sf_dir):
+    return _archive_query(spark, sf_dir, "cov")
+
+
 _VALUES = ("f3", "f4")
 
 
@@ -428,6 +507,41 @@ def octree_leaves(spark, sf_dir):
     return regions.octree_leaves(evt(spark, sf_dir), 200, 3, 6)
 
 
+def _octree_sql(max_points: int, levels: int, buffer: float) -> str:
+    """CTEs o, r (mean, radius), e (levels), t (cells by buffered population) and leaf of the events' octree."""
+    own = ", ".join(f"CAST(floor(({c} - (a{c} - r)) / (2 * r / (1 << level))) AS BIGINT) AS i{c}" for c in XYZ)
+    near = " AND ".join(f"CAST(floor(({c} - {buffer} - (a{c} - r)) / (2 * r / (1 << c.level))) AS BIGINT) <= i{c} AND CAST(floor(({c} + {buffer} - (a{c} - r)) / (2 * r / (1 << c.level))) AS BIGINT) >= i{c}" for c in XYZ)
+    return (
+        EV + ", o AS (SELECT avg(x) AS ax, avg(y) AS ay, avg(z) AS az FROM p), r AS (SELECT greatest(max(abs(x-ax)), max(abs(y-ay)), max(abs(z-az))) * (1 + 1e-9) + 1e-12 AS r FROM p, o), "
+        f"e AS (SELECT CAST(g AS INTEGER) AS level FROM range(1, {levels + 1}) t(g)), f AS (SELECT id, level, {own} FROM p, o, r, e), c AS (SELECT level, ix, iy, iz, count(*) AS n FROM f GROUP BY ALL), "
+        f"t AS (SELECT c.level, ix, iy, iz, any_value(n) AS n, count(*) AS population FROM c, p, o, r WHERE {near} GROUP BY ALL), w AS (SELECT *, population <= {max_points} OR level = {levels} AS whole FROM t), "
+        "leaf AS (SELECT w.level, w.ix, w.iy, w.iz, w.n, w.population FROM w LEFT JOIN w a ON a.level = w.level - 1 AND a.ix = w.ix >> 1 AND a.iy = w.iy >> 1 AND a.iz = w.iz >> 1 WHERE w.whole AND NOT coalesce(a.whole, FALSE))"
+    )
+
+
+@register(_octree_sql(400, 3, 10.0) + " SELECT * FROM leaf")
+def octree_buffered(spark, sf_dir):
+    points = evt(spark, sf_dir)
+    return regions.octree_leaves(points, 400, 1, 3, points, 10.0)
+
+
+@register(_octree_sql(400, 3, 10.0) + " SELECT level, ix, iy, iz, n AS n_query, population AS n_search FROM leaf")
+def partition_rows(spark, sf_dir):
+    """Query and buffered search points of each leaf."""
+    points = evt(spark, sf_dir)
+    root = regions.OctreeRoot.of(points)
+    q, s = regions.partition_rows(points, points, regions.octree_leaves(points, 400, 1, 3, points, 10.0, root=root), root, 10.0)
+    key = ["level", "ix", "iy", "iz"]
+    return q.groupBy(*key).agg(F.count("*").alias("n_query")).join(s.groupBy(*key).agg(F.count("*").alias("n_search")), key)
+
+
+@register()
+def rigid_edge(spark, sf_dir):
+    """The edge at which no cube of the events holds more than 300."""
+    edge = regions.rigid_edge(evt(spark, sf_dir), 300, 200.0)
+    return regions.rigid_leaves(evt(spark, sf_dir), edge).select(F.lit(round(edge, 9)).alias("edge"), "ix", "iy", "iz", "n")
+
+
 @register(EV + " SELECT CAST(floor(x / 50.0) AS BIGINT) AS ix, CAST(floor(y / 50.0) AS BIGINT) AS iy, CAST(floor(z / 50.0) AS BIGINT) AS iz, count(*) AS n FROM p GROUP BY ALL HAVING count(*) >= 5")
 def rigid_leaves(spark, sf_dir):
     return regions.rigid_leaves(evt(spark, sf_dir), 50.0, 5)
@@ -483,9 +597,9 @@ def scatter_labels(spark, sf_dir):
     return _lbl(spark, sf_dir).select("id", "label")
 
 
-@register("SELECT CAST(g AS INTEGER) AS label, count(v.label) AS n FROM range(0, (SELECT max(label) + 1 FROM embeddings)) t(g) LEFT JOIN (SELECT label FROM embeddings WHERE label <> 4) v ON v.label = g GROUP BY g")
+@register("SELECT CAST(g AS INTEGER) AS label, count(v.label) AS n FROM range(0, (SELECT max(label) + 1 FROM embeddings)) t(g) LEFT JOIN (SELECT label FROM embeddings) v ON v.label = g GROUP BY g")
 def label_population(spark, sf_dir):
-    return A.label_population(emb(spark, sf_dir).where("label <> 4"))
+    return A.label_population(emb(spark, sf_dir))
 
 
 @register("SELECT CAST(i - 1 AS INTEGER) AS feature, round(stddev_pop(CAST(embedding[i] AS DOUBLE)), 6) AS std FROM embeddings, range(1, 65) t(i) GROUP BY i")

@@ -1,10 +1,11 @@
 """Readers by suffix, labelled clouds from several files, coloured export."""
 
-import io
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,22 +29,49 @@ def read_text(spark: SparkSession, path: str, delimiter: str | None = None, colu
     return raw.select(F.xxhash64("_file", *names).alias("id"), *(F.col(n).alias(c) for n, c in zip(names, XYZ)), feats.alias("feats"))
 
 
-def read_npy(spark: SparkSession, path: str) -> DataFrame:
-    """Matrices in .npy files -> (id, x, y, z, feats); id hashes the file and the row number."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"]):
-                m = np.load(io.BytesIO(content), allow_pickle=False)
-                if m.ndim != 2 or m.shape[1] < 3:
-                    raise ValueError(f"{name}: a matrix of at least three columns is needed")
-                for at in range(0, len(m), 100_000):
-                    part = m[at : at + 100_000].astype(float)
-                    yield pd.DataFrame({"path": name, "row": np.arange(at, at + len(part)), "x": part[:, 0], "y": part[:, 1], "z": part[:, 2], "feats": list(part[:, 3:])})
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    rows = files.mapInPandas(run, "path string, row long, x double, y double, z double, feats array<double>")
-    return rows.select(F.xxhash64("path", "row").alias("id"), *XYZ, "feats")
+def _open(name: str):
+    where, path = fs.FileSystem.from_uri(name)
+    return where.open_input_file(path)
+
+
+def _npy_ranges(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """The runs of rows that each file is read in, from its header."""
+    for pdf in batches:
+        for name in pdf["path"]:
+            with _open(name) as f:
+                read = np.lib.format.read_array_header_1_0 if np.lib.format.read_magic(f)[0] == 1 else np.lib.format.read_array_header_2_0
+                shape, fortran, dtype = read(f)
+                data = f.tell()
+            if len(shape) != 2 or shape[1] < 3 or dtype.hasobject:
+                raise ValueError(f"{name}: a matrix of at least three columns of numbers is needed")
+            first = np.arange(0, shape[0], rows)
+            yield pd.DataFrame({"path": name, "first": first, "n": np.minimum(rows, shape[0] - first), "height": shape[0], "width": shape[1], "fortran": fortran, "dtype": dtype.str, "data": data})
+
+
+def _npy_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for r in pdf.itertuples(index=False):
+            dtype = np.dtype(r.dtype)
+            with _open(r.path) as f:
+                if r.fortran:  # columns lie end to end
+                    m = np.stack([np.frombuffer(f.read_at(r.n * dtype.itemsize, r.data + (c * r.height + r.first) * dtype.itemsize), dtype) for c in range(r.width)], axis=1)
+                else:
+                    m = np.frombuffer(f.read_at(r.n * r.width * dtype.itemsize, r.data + r.first * r.width * dtype.itemsize), dtype).reshape(r.n, r.width)
+            m = m.astype(float)
+            yield pd.DataFrame({"path": r.path, "row": np.arange(r.first, r.first + r.n), "x": m[:, 0], "y": m[:, 1], "z": m[:, 2], "feats": list(m[:, 3:])})
+
+
+def read_npy(spark: SparkSession, path: str, rows: int = 100_000) -> DataFrame:
+    """Matrices in .npy files of any size -> (id, x, y, z, feats); id hashes the file and the row number.
+
+    Headers tell the runs of rows; runs are dealt over tasks, each of which reads its own bytes (local, hdfs, s3 and gs
+    addresses). No file is held in one piece."""
+    files = spark.read.format("binaryFile").load(path).select("path")
+    schema = "path string, first long, n long, height long, width long, fortran boolean, dtype string, data long"
+    runs = files.mapInPandas(partial(_npy_ranges, rows=rows), schema)
+    dealt = runs.repartition(spark.sparkContext.defaultParallelism * 4, "path", "first")
+    out = dealt.mapInPandas(_npy_rows, "path string, row long, x double, y double, z double, feats array<double>")
+    return out.select(F.xxhash64("path", "row").alias("id"), *XYZ, "feats")
 
 
 def read_cloud(spark: SparkSession, source, **options) -> DataFrame:

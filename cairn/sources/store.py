@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.cloud import PointCloud
 from cairn.functions.geometry import clean
 from cairn.operators.assets import unique_first
 from cairn.operators.voxel import first_points
@@ -29,25 +30,51 @@ class CloudStore:
             raise ValueError(f"not a set name: {tag!r}")
         return tag
 
-    def ingest(self, points: DataFrame, voxel_edge: float | None = None, keep_features: bool = True) -> None:
-        """Writes the points, thinned to the first point of each voxel if an edge is given."""
+    def ingest(self, points: DataFrame, voxel_edge: float | None = None, keep_features: bool = True, far: float | None = None) -> tuple[float, float, float]:
+        """Writes the points, thinned to the first point of each voxel if an edge is given. far: the centroid is taken off
+        the coordinates if it lies farther from the origin. Returns what was taken off (zeros: nothing)."""
+        corner = (0.0, 0.0, 0.0)
+        if far is not None:
+            cloud = PointCloud(points).recenter("centroid", far)
+            points, corner = cloud.df, cloud.corner
         if voxel_edge:
             points = points.join(first_points(points, voxel_edge).select("id"), "id", "left_semi")
         if not keep_features:
             points = points.select("id", "x", "y", "z")
         points.write.mode("overwrite").parquet(f"{self.root}/points")
+        return corner
 
     def points(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/points")
 
     def add_set(self, tag: str, df: DataFrame) -> None:
-        """A set with an id column; the row of the smallest pos stays if ids repeat. An existing tag: ValueError."""
+        """A set with an id column; the row of the smallest pos stays if ids repeat.
+
+        ValueError: a tag that exists; ids that are null or, once points are stored, not among theirs; ids that repeat
+        without a pos; feats of different lengths.
+        """
         if tag in self.tags():
             raise ValueError(f"set {tag} exists")
+        path = f"{self.root}/sets/{self._tag(tag)}"
         if "pos" in df.columns:
             rest = [c for c in df.columns if c not in ("id", "pos")]
             df = unique_first(df.select("id", "pos", F.struct(*rest).alias("value"))).select("id", "value.*")
-        df.write.parquet(f"{self.root}/sets/{self._tag(tag)}")
+        elif not df.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            raise ValueError("ids repeat; a column pos tells which row stays")
+        if not df.where("id is null").isEmpty():
+            raise ValueError("ids are null")
+        if self._fs().exists(self._path("points")) and not df.join(self.points().select("id"), "id", "left_anti").isEmpty():
+            raise ValueError("ids lie outside the stored cloud")
+        if "feats" in df.columns:
+            row = df.agg(F.min(F.size("feats")).alias("a"), F.max(F.size("feats")).alias("b")).first()
+            if row["a"] != row["b"]:
+                raise ValueError("feats differ in length")
+        df.write.parquet(path)
+
+    def add_labelled(self, cloud: DataFrame, tag: str = "hand labeled") -> None:
+        """Stores a labelled cloud (see readers.labelled_cloud): its points, and its rows of known label as a set."""
+        self.ingest(cloud.drop("label"))
+        self.add_set(tag, cloud.where("label is not null").select("id", "label", *(c for c in ("feats",) if c in cloud.columns)))
 
     def tags(self) -> list[str]:
         path = self._path("sets")

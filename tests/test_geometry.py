@@ -216,3 +216,63 @@ def test_registered_features_are_computed(spark):
     for got in (two, many):
         assert got[0].s0_test_reach == 0.5 and got[0].s1_test_reach == pytest.approx(1 / 1.5)
         assert got[1].s0_test_reach is None and got[1].s1_test_reach is None
+
+
+def test_octree_partition_accept_and_split(spark):
+    """A cloud that fits is one level of octants; more search points in the buffered boxes split it further."""
+    from cairn.operators import regions as R
+
+    rng = np.random.default_rng(10)
+    q = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(rng.random((400, 3)))], "id long, x double, y double, z double")
+    s = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(rng.random((900, 3)) * 1.4 - 0.2)], "id long, x double, y double, z double")
+    root, buffer = R.OctreeRoot.of(q), 0.05
+    assert {r.level for r in R.octree_leaves(q, 900, max_level=5, search=s, buffer=buffer, root=root).collect()} == {1}
+    leaves = R.octree_leaves(q, 18, max_level=5, search=s, buffer=buffer, root=root)
+    rows = leaves.collect()
+    assert len({r.level for r in rows}) > 1 and sum(r.n for r in rows) == 400 and all(r.population <= 18 or r.level == 5 for r in rows)
+    assert {r.level for r in R.octree_leaves(q, 18, max_level=5, search=s, buffer=buffer, root=root, min_radius=root.radius / 3).collect()} == {1}
+    own, near = R.partition_rows(q, s, leaves, root, buffer)
+    mine, around = own.collect(), near.collect()
+    assert sorted(r.id for r in mine) == list(range(400)) and own.columns == [*q.columns, "level", "ix", "iy", "iz"]
+    for r in rows:
+        edge = 2 * root.radius / 2**r.level
+        a = [v + i * edge for v, i in zip(root.low, (r.ix, r.iy, r.iz))]
+        cell = (r.level, r.ix, r.iy, r.iz)
+        assert all(all(lo <= p[c] < lo + edge for c, lo in zip("xyz", a)) for p in mine if (p.level, p.ix, p.iy, p.iz) == cell)
+        want = {p.id for p in s.collect() if all(lo - buffer <= p[c] < lo + edge + buffer for c, lo in zip("xyz", a))}
+        assert {p.id for p in around if (p.level, p.ix, p.iy, p.iz) == cell} == want and len(want) == r.population
+    nothing = R.partition_rows(q, s, leaves.limit(0), root, buffer)
+    assert nothing[0].count() == 0 == nothing[1].count()
+    with pytest.raises(ValueError):
+        R.partition_rows(q, s, leaves, root, -1.0)
+
+
+def test_rigid_edge_shrinks_until_all_fit(spark):
+    from cairn.operators import regions as R
+
+    df = spark.range(1000).selectExpr("id", "double(id % 10) AS x", "double(int(id / 10) % 10) AS y", "double(int(id / 100)) AS z")
+    edge = R.rigid_edge(df, 30, 20.0)
+    assert edge < 20 and R.rigid_leaves(df, edge).agg(F.max("n")).first()[0] <= 30
+    assert R.rigid_edge(df, 1000, 20.0) == 20.0
+    with pytest.raises(ValueError):
+        R.rigid_edge(df, 30, 20.0, min_edge=10.0)
+
+
+def test_points_between_voxels(spark):
+    from cairn.operators import voxel as V
+
+    df = spark.createDataFrame([(i, i / 2, 0.0, 0.0) for i in range(6)], "id long, x double, y double, z double")
+    assert sorted(r.x for r in V.unique_voxels(df, 1.0).collect()) == [0, 1, 2, 3]
+    assert sorted(r.x for r in V.unique_voxels(df, 1.0, ties="even").collect()) == [0, 1, 2]
+
+
+def test_scales_share_one_join(spark):
+    from cairn.plans import multiscale as M
+
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(rng.random((60, 3)))], "id long, x double, y double, z double")
+    far = df.union(spark.createDataFrame([(99, 50.0, 50.0, 50.0)], df.schema))
+    for profile in ("minimal", "gpu"):
+        got = {r.qid: list(r)[1:] for r in M.multiscale(far, df, [0.1, 0.0, 0.1], [0.3, 0.2, 0.5], profile).collect()}
+        each = [{r.qid: list(r)[1:] for r in M.one_scale(far, df, e, r0, profile).collect()} for e, r0 in ((0.1, 0.3), (0.0, 0.2), (0.1, 0.5))]
+        assert len(got) == 61 and all(v == pytest.approx([x for one in each for x in one[i]]) for i, v in got.items())

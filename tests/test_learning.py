@@ -178,7 +178,15 @@ def test_sources_and_store(spark, tmp_path):
     store = CloudStore(spark, f"file://{tmp_path}/cloud")
     store.ingest(both.select("id", "x", "y", "z"), voxel_edge=1.0)
     assert store.points().count() == 3
-    store.add_set("s", spark.createDataFrame([(0, 1, 5, [1.0, float("nan"), float("inf")]), (1, 1, 6, [0.0, 0.0, 0.0])], "pos long, id long, label int, feats array<double>"))
+    p, schema = store.points().first().id, "pos long, id long, label int, feats array<double>"
+    store.add_set("s", spark.createDataFrame([(0, p, 5, [1.0, float("nan"), float("inf")]), (1, p, 6, [0.0, 0.0, 0.0])], schema))
+    for bad in ([(0, 1, 5, [1.0])], [(0, None, 5, [1.0])]):  # an id outside the cloud, a null one
+        with pytest.raises(ValueError):
+            store.add_set("bad", spark.createDataFrame(bad, schema))
+    for bad in ([(p, 5, [1.0]), (p, 6, [1.0])], [(r.id, 1, [1.0] * (i + 1)) for i, r in enumerate(store.points().collect())]):  # repeated ids, ragged feats
+        with pytest.raises(ValueError):
+            store.add_set("bad", spark.createDataFrame(bad, "id long, label int, feats array<double>"))
+    assert store.tags() == ["s"]
     assert store.feats("s").first().feats == [1.0, 0.0, 1.7976931348623157e308] and store.index("s").first().label == 5
     assert [tuple(r) for r in store.describe_sets().collect()] == [("s", 1, True, False, 3)]
     with pytest.raises(ValueError):
@@ -194,6 +202,91 @@ def test_sources_and_store(spark, tmp_path):
     assert spark.read.text(f"{tmp_path}/out").first()[0] == "1.000,2.000,3.000,4.000,5.000,6.000"
 
 
+def test_npy_files_are_read_in_runs(spark, tmp_path):
+    m = np.random.default_rng(1).normal(size=(250, 5))
+    np.save(tmp_path / "c.npy", m)
+    np.save(tmp_path / "f.npy", np.asfortranarray(m.astype(np.float32)))
+    for name, want in (("c", m), ("f", m.astype(np.float32).astype(float))):
+        got = sorted((r.x, r.y, r.z, *r.feats) for r in readers.read_npy(spark, f"{tmp_path}/{name}.npy", rows=33).collect())
+        assert got == sorted(map(tuple, want.tolist()))
+    np.save(tmp_path / "bad.npy", m[:, :2])
+    with pytest.raises(Exception, match="three columns"):
+        readers.read_npy(spark, f"{tmp_path}/bad.npy").collect()
+
+
+def test_far_clouds_are_recentred_on_ingest(spark, tmp_path):
+    df = spark.createDataFrame([(0, 100.0, 0.0, 0.0), (1, 102.0, 0.0, 0.0)], "id long, x double, y double, z double")
+    store = CloudStore(spark, f"file://{tmp_path}/far")
+    assert store.ingest(df, far=200.0) == (0.0, 0.0, 0.0) and store.ingest(df, far=50.0) == (101.0, 0.0, 0.0)
+    assert sorted(r.x for r in store.points().collect()) == [-1.0, 1.0]
+    labelled = df.withColumn("label", F.when(F.col("id") == 1, 4)).withColumn("feats", F.array(F.lit(1.0)))
+    store.add_labelled(labelled)
+    assert [(r.id, r.label) for r in store.index("hand labeled").collect()] == [(1, 4)]
+
+
+def test_archive_features(spark, tmp_path):
+    from cairn.plans.archive import archive_features
+    from cairn.plans.multiscale import multi_radius, vector_multiscale
+
+    rng = np.random.default_rng(6)
+    rows = [(i, *map(float, p), i % 4 if i % 3 == 0 else None, [float(i), float(i % 7)]) for i, p in enumerate(rng.random((90, 3)))]
+    cloud = spark.createDataFrame(rows, "id long, x double, y double, z double, label int, feats array<double>")
+    points, store = cloud.select("id", "x", "y", "z"), CloudStore(spark, f"file://{tmp_path}/archive")
+    store.ingest(points)
+    store.add_set("all", cloud.select("id", "label", "feats"))
+    scales = [(0.1, [0.5, 0.3]), (0.2, [0.6])]
+    got = {r.id: r for r in archive_features(store, "all", scales, skip=4, seed=2, save_as="f").collect()}
+    assert len(got) == 30 + 15 and sum(r.label is not None for r in got.values()) == 30 and len(got[0].feats) == 12
+    first, second = ({r.qid: list(r)[1:] for r in multi_radius(points, points, e, radii).collect()} for e, radii in scales)
+    assert all(r.feats == pytest.approx(first[i] + second[i]) for i, r in got.items())
+    assert {r.id for r in archive_features(store, "all", scales[:1], "cov", skip=0).collect()} == set(range(0, 90, 3))
+    valued = cloud.select("id", "x", "y", "z", F.col("feats")[0].alias("v0"), F.col("feats")[1].alias("v1"))
+    means = {r.qid: list(r)[1:] for r in vector_multiscale(points, valued.where("id % 3 <> 0"), ["v0", "v1"], 0.2, [0.5]).collect()}
+    got = archive_features(store, "all", [(0.2, [0.5])], "vector", search="unlabelled", columns=2).collect()
+    assert len(got) == 90 and all(r.feats == pytest.approx(means[r.id]) for r in got)
+    with pytest.raises(ValueError):
+        archive_features(store, "all", scales, search="some")
+
+
+def test_predictions_are_stored_and_exported(spark, blobs, tmp_path):
+    model = make_classifier("rf", numTrees=5).fit(as_features(blobs))
+    points = blobs.select("id", *(F.col("feats")[k].alias(c) for k, c in enumerate("xyz")))
+    store = CloudStore(spark, f"file://{tmp_path}/predicted")
+    store.ingest(points)
+    store.add_set("all", blobs)
+    assert workflow.save_predictions(model, store, "all", "labels").join(blobs.select("id", F.col("label").alias("y")), "id").where("label = y").count() > 230
+    assert all(len(r.feats) == 3 and sum(r.feats) == pytest.approx(1) for r in workflow.save_predictions(model, store, "all", "p", "probabilities").collect())
+    workflow.export_predictions(model, points.join(blobs.select("id", "feats"), "id"), f"{tmp_path}/colored")
+    assert spark.read.csv(f"{tmp_path}/colored").count() == 240 and len(spark.read.csv(f"{tmp_path}/colored").columns) == 6
+
+
+def test_refit_without_scales_and_leaf_embedding(blobs):
+    wide = blobs.withColumn("feats", F.concat("feats", F.array(F.lit(0.0), F.lit(0.0))))
+    shares, model, conf = workflow.refit_without_scales(wide, 2, [2], numTrees=5)
+    assert shares[2] == 0 and sum(shares) == pytest.approx(1) and model.numFeatures == 4 and conf.count() == 9
+    nb = make_classifier("nb", embedding=True, trees=5, depth=3).fit(as_features(blobs))
+    assert nb.transform(as_features(blobs)).where("prediction = label").count() > 220
+
+
+@pytest.mark.parametrize("block", [64_000_000, 1500])
+def test_knn_matches_brute_force(spark, block):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 4, (120, 3)).astype(float)
+    rows = [(i, i % 3, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, label int, feats array<double>")
+    got = {r.id: r.label for r in knn(df.where("id < 80"), df, 5, block).collect()}
+    for i in range(120):
+        near = sorted(range(80), key=lambda j: (((x[i] - x[j]) ** 2).sum(), j))[:5]
+        votes = [sum(j % 3 == c for j in near) for c in range(3)]
+        assert got[i] == votes.index(max(votes))
+    assert knn(df.limit(0), df).count() == 0
+
+
+def test_formatted_metrics(spark):
+    conf = spark.createDataFrame([(0, 0, 3), (0, 1, 1), (1, 0, 1), (1, 1, 3)], "assigned int, known int, n long")
+    assert metrics.format_three(metrics.three_metrics(conf)).splitlines()[0].split() == ["0", "75.00", "25.00", "25.00"]
+
+
 def test_streaming_matches_batch(spark, tmp_path):
     from cairn.plans.multiscale import one_scale
     from cairn.streaming.incremental import stream_features
