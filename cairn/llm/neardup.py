@@ -84,9 +84,9 @@ def _full_sets(batches, k: int):
 
 
 def _sets_of(ids: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(node, s): the full sets of the nodes in ids(node), from the text of one document each."""
-    need = C.stash(reps.select("node", "rk").join(ids, "node", "left_semi"))
-    texts = docs.join(C.small(need), "rk").select("node", "text")
+    """(node, s): the full sets of the nodes in ids(node), from the text of the row that each node is."""
+    need = C.stash(reps.select("node").join(ids, "node", "left_semi"))
+    texts = docs.withColumnRenamed("rk", "node").join(C.small(need), "node", "left_semi").select("node", "text")
     sets = C.stash(texts.mapInArrow(partial(_full_sets, k=k), "node long, s array<long>"))
     C.discard(need)
     return sets
@@ -94,7 +94,6 @@ def _sets_of(ids: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> DataFr
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    sets = sets.dropDuplicates(["node"])  # repeated rows give a node twice
     a = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
     b = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -132,7 +131,7 @@ def _remaining_links(member: DataFrame, labels: DataFrame, edges: DataFrame, rep
     large = rest.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > RARE).select("key")
     big = C.stash(rest.join(large, "key", "left_semi"))
     nodes = C.stash(big.groupBy("node").agg(F.first("n").alias("n")))
-    held = sets.dropDuplicates(["node"]).join(nodes, "node", "left_semi").select("node", F.explode("s").alias("x"))
+    held = sets.join(nodes, "node", "left_semi").select("node", F.explode("s").alias("x"))
     few = held.groupBy("x").agg(F.count("*").alias("c")).where(F.col("c") <= RARE)
     rare = C.stash(held.join(few, "x"))
     own = rare.groupBy("node").agg(F.count("*").alias("own"))
@@ -173,31 +172,24 @@ def _remaining_links(member: DataFrame, labels: DataFrame, edges: DataFrame, rep
     return labels
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = ROWS_PER_BAND, bands: int | None = None) -> DataFrame:
-    """docs(doc_id, text, ...) -> (rk, doc_id, n_shingles, component_id, kept), one row for each input row.
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a unique number rk for each row; written, so that a row keeps its number."""
+    return C.stash(docs.drop("rk").withColumn("rk", F.monotonically_increasing_id()))
 
-    Words are separated by ASCII white space, A-Z lower-cased; a document's set is its distinct k-word shingles. Two
-    documents are linked if 100 * intersection >= percent * union. component_id is the smallest doc_id reachable, kept
-    says that it is the row's own. Equal sets meet by a fingerprint first, so a group of copies is one node however
-    large. Nodes of a bucket are compared with a few pivots; in buckets that still hold several components, all pairs
-    across components that exact bounds allow are compared, so no candidate link between components is lost.
 
-    Null text and text without words: n_shingles 0, linked with nothing. Null doc_id: the row takes no part, its
-    component_id is null and kept is true. Rows that repeat a doc_id each count as a document. Other columns are ignored.
-    Nodes are 64-bit hashes of 128-bit set fingerprints.
-    """
+def _classes(docs: DataFrame, k: int, percent: int, rows: int, bands: int | None) -> DataFrame:
+    """docs(rk, doc_id, text), rk being unique -> (rk, doc_id, n, label, component_id): label is the smallest rk of the
+    component, null for rows that take no part."""
     bands = bands or bands_for(percent / 100, rows)
-    docs = docs.select(C.row_key("doc_id", "text").alias("rk"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sig = C.stash(
-        docs.mapInArrow(partial(_signatures, k=k, bands=bands, rows=rows), "rk long, doc_id long, n long, fa long, fb long, bands array<long>")
-        .withColumn("node", F.xxhash64("fa", "fb", "n"))
-    )
+    docs = docs.select("rk", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sig = C.stash(docs.mapInArrow(partial(_signatures, k=k, bands=bands, rows=rows), "rk long, doc_id long, n long, fa long, fb long, bands array<long>"))
     live = sig.where("n > 0 and doc_id is not null")
-    reps = C.stash(live.groupBy("node").agg(F.first("n").alias("n"), F.min("rk").alias("rk"), F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")))
-    member = reps.select("node", "n", F.explode("bands").alias("key"))
-    pivots = member.groupBy("key").agg(
-        F.count("*").alias("c"), *(F.min(F.col("node").bitwiseXOR(F.lit(x))).bitwiseXOR(F.lit(x)).alias(f"p{i}") for i, x in enumerate(PIVOTS))
-    ).where("c > 1")
+    same = ["fa", "fb", "n"]  # 128 bits of a set and its size
+    reps = C.stash(live.groupBy(*same).agg(F.min("rk").alias("node"), F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")))
+    every = reps.select("node", "n", F.explode("bands").alias("key"))
+    shared = every.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    member = C.stash(every.join(shared, "key"))  # most keys occur once; all that follows reads the others alone
+    pivots = member.groupBy("key").agg(*(F.min(F.col("node").bitwiseXOR(F.lit(x))).bitwiseXOR(F.lit(x)).alias(f"p{i}") for i, x in enumerate(PIVOTS)))
     pairs = (
         member.join(pivots, "key")
         .select("node", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(len(PIVOTS)))))).alias("p"))
@@ -211,26 +203,43 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     C.discard(sets, pairs)
     labels = C.stash(components(edges))
     labels = _remaining_links(member, labels, edges, reps, docs, k, percent)
-    node = reps.select("node", "first_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    node = reps.select(*same, "node", "first_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = node.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    node = node.join(smallest, "label").select("node", "component_id")
-    out = sig.select("rk", "doc_id", "n", "node").join(node, "node", "left")
-    component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select(
-        "rk", "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")
-    )
+    node = node.join(smallest, "label").select(*same, "label", "component_id")
+    out = C.stash(sig.select("rk", "doc_id", *same).where("n > 0 and doc_id is not null").join(node, same).select("rk", "doc_id", "n", "label", "component_id"))
+    C.discard(member, edges)
+    none = F.lit(None).cast("long")
+    return out.union(sig.where("n = 0 or doc_id is null").select("rk", "doc_id", "n", none, F.when(F.col("n") == 0, F.col("doc_id"))))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = ROWS_PER_BAND, bands: int | None = None) -> DataFrame:
+    """docs(doc_id, text, ...) -> (doc_id, n_shingles, component_id, kept), one row for each input row.
+
+    Words are separated by ASCII white space, A-Z lower-cased; a document's set is its distinct k-word shingles. Two
+    documents are linked if 100 * intersection >= percent * union. component_id is the smallest doc_id reachable, kept
+    says that it is the row's own. Equal sets meet by a fingerprint first, so a group of copies is one node however
+    large. Nodes of a bucket are compared with a few pivots; in buckets that still hold several components, all pairs
+    across components that exact bounds allow are compared, so no candidate link between components is lost.
+
+    Null text and text without words: n_shingles 0, linked with nothing. Null doc_id: the row takes no part, its
+    component_id is null and kept is true. Rows that repeat a doc_id each count as a document. Texts of any length are
+    read whole; other columns are ignored; empty tables give no rows. Sets are held equal by 128 bits and their size.
+    """
+    found = _classes(numbered(docs.select("doc_id", "text")), k, percent, rows, bands)
+    kept = F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept)
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows whose group has a smaller doc_id; of rows that repeat a doc_id and text one stays.
+    """docs without the rows whose group has a smaller doc_id; of rows that repeat a doc_id within a group one stays, and
+    all rows without words or doc_id do. The same columns.
 
-    Survivors are decided on keys alone; only rows whose key occurs more than once are compared with each other.
+    Survivors are decided on numbers alone; texts are only read again.
     """
-    found = near_duplicates(docs, k, percent).where("kept").groupBy(F.col("rk").alias("_cairn_rk")).agg(F.count("*").alias("n"))
-    found = C.stash(found)
-    keyed = docs.withColumn("_cairn_rk", C.row_key("doc_id", "text"))
-    once = keyed.join(C.small(found.where("n = 1").select("_cairn_rk")), "_cairn_rk", "left_semi")
-    again = found.where("n > 1").select("_cairn_rk")
-    if not again.isEmpty():
-        once = once.union(keyed.join(C.small(again), "_cairn_rk", "left_semi").dropDuplicates(["_cairn_rk"]))
-    return once.drop("_cairn_rk")
+    mark = "_cairn_rk"
+    rows = C.stash(docs.withColumn(mark, F.monotonically_increasing_id()))
+    found = _classes(rows.select(F.col(mark).alias("rk"), "doc_id", "text"), k, percent, ROWS_PER_BAND, None)
+    group = found.where("label is not null and doc_id = component_id").groupBy("label").agg(F.min("rk").alias(mark)).select(mark)
+    alone = found.where("label is null").select(F.col("rk").alias(mark))
+    stay = C.stash(group.union(alone))
+    return rows.join(C.small(stay), mark, "left_semi").drop(mark)

@@ -54,7 +54,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(C.table(spark, sf_dir, "documents"), k=3, percent=85).drop("rk")
+    return neardup.near_duplicates(C.table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
