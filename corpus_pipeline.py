@@ -48,7 +48,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of sf_dir; each writes Parquet to the shared folder and the next rereads it."""
-    docs = common.table(spark, sf_dir, "documents")
+    before, docs = None, common.table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = common.stash(stage(spark, docs, sf_dir))
+        kept = common.stash(stage(spark, docs, sf_dir))
+        if before is not None:
+            common.discard(before)
+        before = docs = kept
     return docs
