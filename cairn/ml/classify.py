@@ -14,13 +14,14 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.ml.extra import ExtraTrees
 from cairn.plans.materialize import materialize
 
 
 def make_classifier(name: str, **params) -> Estimator:
     """svm, rf, erf, nb or sgd, reading the vector column `features` and `label`.
 
-    erf stands for extremely randomised trees, which Spark lacks: a forest without bootstrap on random feature subsets.
+    erf are extremely randomised trees, see ExtraTrees.
     sgd is logistic loss with elasticNetParam (0: L2, 1: L1) instead of hinge loss. nb works on features above 0, or with
     embedding=True on the leaves of a forest that rows fall into (its parameters: trees, depth, seed).
     """
@@ -29,7 +30,7 @@ def make_classifier(name: str, **params) -> Estimator:
     if name == "rf":
         return RandomForestClassifier(**({"numTrees": 30, "seed": 1} | params))
     if name == "erf":
-        return RandomForestClassifier(**({"numTrees": 30, "impurity": "gini", "bootstrap": False, "featureSubsetStrategy": "sqrt", "seed": 1} | params))
+        return ExtraTrees(**params)
     if name == "nb" and params.pop("embedding", False):
         own = {p: params.pop(p) for p in ("trees", "depth", "seed") if p in params}
         return Pipeline(stages=[*random_trees_embedding(**own), NaiveBayes(modelType="bernoulli", featuresCol="_on", **params)])

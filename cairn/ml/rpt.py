@@ -70,32 +70,33 @@ def fit(df: DataFrame, trees: int = 10, impurity: float = 0.2, min_obs: int = 20
 def walk(df: DataFrame, rulebook: DataFrame) -> DataFrame:
     """df(id, feats) -> (id, tree, gini, props): the leaf of each row in each tree; a missing branch means its parent.
 
-    The rulebook is a model of bounded size (trees x nodes), collected and sent along.
+    The rulebook is a model of bounded size (trees x nodes), collected and broadcast.
     """
     book: dict[int, dict[int, tuple]] = {}
     for r in rulebook.collect():
         book.setdefault(r["tree"], {})[r["tag"]] = (r["split"], np.array(r["vec"]), r["gini"], r["props"])
+    shared = df.sparkSession.sparkContext.broadcast(book)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
             x = np.stack(pdf["feats"].to_numpy()).astype(float)
-            for tree, rules in sorted(book.items()):
-                out_g, out_p, todo = np.zeros(len(x)), [None] * len(x), [(1, np.arange(len(x)))]
+            for tree, rules in sorted(shared.value.items()):
+                number = {tag: i for i, tag in enumerate(rules)}
+                leaf, todo = np.zeros(len(x), int), [(1, np.arange(len(x)))]
                 while todo:
                     tag, rows = todo.pop()
-                    split, vec, g, props = rules[tag]
+                    split, vec = rules[tag][:2]
                     left = x[rows] @ vec <= split if np.isfinite(split) else None
                     for child, mine in [(None, rows)] if left is None else [(2 * tag, rows[left]), (2 * tag + 1, rows[~left])]:
                         if child in rules:
                             if len(mine):
                                 todo.append((child, mine))
                         else:
-                            out_g[mine] = g
-                            for i in mine:
-                                out_p[i] = props
-                yield pd.DataFrame({"id": pdf["id"], "tree": tree, "gini": out_g, "props": out_p})
+                            leaf[mine] = number[tag]
+                gini, props = np.array([r[2] for r in rules.values()]), np.array([r[3] for r in rules.values()])
+                yield pd.DataFrame({"id": pdf["id"], "tree": tree, "gini": gini[leaf], "props": list(props[leaf])})
 
     return df.select("id", "feats").mapInPandas(run, "id long, tree int, gini double, props array<double>")
 

@@ -268,6 +268,27 @@ def test_refit_without_scales_and_leaf_embedding(blobs):
     assert nb.transform(as_features(blobs)).where("prediction = label").count() > 220
 
 
+def test_extremely_randomised_trees(spark, blobs):
+    from cairn.ml.extra import ExtraTrees, grow
+
+    rng = np.random.default_rng(0)
+    x, y = rng.random((200, 3)), rng.integers(0, 3, 200)
+    child, feature, split, props, gain = grow(x, y, 3, 50, 1, rng)
+    for row, label in zip(x, y):  # grown out, every training row has a leaf of its own label
+        at = 0
+        while child[at] >= 0:
+            at = child[at] + (row[feature[at]] > split[at])
+        assert props[at][label] == 1
+    assert gain.sum() == pytest.approx(200 - (np.bincount(y) ** 2).sum() / 200)
+    model = ExtraTrees(numTrees=5, tree_rows=120).fit(as_features(blobs))
+    done = model.transform(as_features(blobs.limit(0).union(blobs)))
+    again = ExtraTrees(numTrees=5, tree_rows=120).fit(as_features(blobs.repartition(7)))
+    assert done.where("prediction = label").count() > 220 and model.featureImportances == again.featureImportances
+    assert model.featureImportances[3] < 0.1 and sum(model.featureImportances) == pytest.approx(1)
+    with pytest.raises(ValueError):
+        ExtraTrees().fit(as_features(blobs.limit(0)))
+
+
 @pytest.mark.parametrize("block", [64_000_000, 1500])
 def test_knn_matches_brute_force(spark, block):
     rng = np.random.default_rng(3)
