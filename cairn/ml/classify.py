@@ -6,8 +6,9 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.ml import Estimator, Pipeline, Transformer
+from pyspark.ml import Estimator, Model, Pipeline, Transformer
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import Binarizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -22,7 +23,7 @@ def make_classifier(name: str, **params) -> Estimator:
     """svm, rf, erf, nb or sgd, reading the vector column `features` and `label`.
 
     erf are extremely randomised trees, see ExtraTrees.
-    sgd is logistic loss with elasticNetParam (0: L2, 1: L1) instead of hinge loss. nb works on features above 0, or with
+    sgd has hinge loss and elasticNetParam (0: L2, 1: L1); loss="log" gives logistic loss instead. nb works on features above 0, or with
     embedding=True on the leaves of a forest that rows fall into (its parameters: trees, depth, seed).
     """
     if name == "svm":
@@ -37,10 +38,58 @@ def make_classifier(name: str, **params) -> Estimator:
     if name == "nb":
         return Pipeline(stages=[Binarizer(inputCol="features", outputCol="_on", threshold=0.0), NaiveBayes(modelType="bernoulli", featuresCol="_on", **params)])
     if name == "sgd":
-        return LogisticRegression(**params)
+        return LogisticRegression(**params) if params.pop("loss", "hinge") == "log" else HingeClassifier(**params)
     raise ValueError(f"unknown classifier: {name}")
 
 
+class HingeClassifier(Estimator):
+    """One-vs-rest hinge loss with L2, L1 or both, by proximal subgradient steps on the vector column `features`. It is
+    fitted on at most about fit_rows rows, whose hashes of content fall below their share of all rows."""
+
+    def __init__(self, regParam: float = 1e-4, elasticNetParam: float = 0.0, maxIter: int = 300, fit_rows: int = 100_000):
+        super().__init__()
+        self.regParam, self.elasticNetParam, self.maxIter, self.fit_rows = regParam, elasticNetParam, maxIter, fit_rows
+
+    def _fit(self, dataset: DataFrame) -> HingeModel:
+        rows = dataset.where("label is not null").select(vector_to_array("features").alias("x"), F.col("label").cast("int").alias("y"))
+        n = rows.count()
+        if not n:
+            raise ValueError("no labelled rows")
+        some = rows.where(F.pmod(F.xxhash64("x", "y"), F.lit(1 << 30)) < int(min(1.0, self.fit_rows / n) * (1 << 30))).toArrow()
+        y = some.column("y").to_numpy()
+        x = np.nan_to_num(some.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1))
+        order = np.lexsort((*x.T, y))  # the order in which rows arrive must not matter
+        x, y = x[order], y[order]
+        mean, scale = x.mean(0), 1 / (x.std(0) + 1e-9)
+        z = (x - mean) * scale
+        sign = np.where(y[:, None] == np.arange(y.max() + 1)[None, :], 1.0, -1.0)
+        w, b = np.zeros((z.shape[1], sign.shape[1])), np.zeros(sign.shape[1])
+        for step in range(1, self.maxIter + 1):
+            wrong = sign * (sign * (z @ w + b) < 1) / len(z)
+            rate = 1 / np.sqrt(step)
+            w = w + rate * (z.T @ wrong - self.regParam * (1 - self.elasticNetParam) * w)
+            w = np.sign(w) * np.maximum(np.abs(w) - rate * self.regParam * self.elasticNetParam, 0)
+            b = b + rate * wrong.sum(0)
+        return HingeModel(w * scale[:, None], b - (mean * scale) @ w)
+
+
+class HingeModel(Model):
+    """Adds margins (an array, one entry a label) and prediction, the label of the largest, ties to the smallest."""
+
+    def __init__(self, weights: np.ndarray, intercepts: np.ndarray):
+        super().__init__()
+        self.weights, self.intercepts = weights, intercepts
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        weights, intercepts = self.weights, self.intercepts
+
+        def margins(feats: pd.Series) -> pd.Series:
+            return pd.Series(list(np.nan_to_num(np.stack(feats.to_numpy()).astype(float)) @ weights + intercepts) if len(feats) else [], dtype=object)
+
+        out = dataset.withColumn("margins", F.pandas_udf(margins, "array<double>")(vector_to_array("features")))
+        return out.withColumn("prediction", (F.array_position("margins", F.array_max("margins")) - 1).cast("double"))
+
+
 class LeafIndicators(Transformer):
     """Which leaf of each tree of a forest a row falls into: the leaf numbers in _leaf as a vector of zeros and ones."""
 

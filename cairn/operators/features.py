@@ -40,6 +40,13 @@ def attach(query: DataFrame, grouped: DataFrame) -> DataFrame:
     return query.select(F.col("id").alias("qid")).join(grouped, "qid", "left")
 
 
+def every_point(query: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs and a row of nulls for each query point: grouped by qid, points without neighbours stay, and no join is
+    needed for it. Aggregates of columns do not count the nulls."""
+    rest = {f.name: F.lit(None).cast(f.dataType) for f in pairs.schema.fields} | {"qid": F.col("id")}
+    return pairs.union(query.select(*(rest[c].alias(c) for c in pairs.columns)))
+
+
 def population(prefix: str = "") -> Column:
     return F.coalesce(F.col(f"{prefix}n"), F.lit(0)).cast("long")
 
@@ -97,5 +104,5 @@ def with_eigenvectors(df: DataFrame, prefix: str = "", names: tuple[str, str, st
 
 def radius_mean(query: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFrame:
     """Mean of carried columns over each neighbourhood; none: 0."""
-    grouped = pairs.groupBy("qid").agg(*(F.avg(c).alias(c) for c in columns))
-    return attach(query, grouped).select("qid", *(F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in columns))
+    grouped = every_point(query, pairs).groupBy("qid").agg(*(F.avg(c).alias(c) for c in columns))
+    return grouped.select("qid", *(F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in columns))

@@ -28,7 +28,9 @@ def resample(search: DataFrame, edge: float, low: tuple | None = None, ties: str
 def one_scale(query: DataFrame, search: DataFrame, edge: float, radius: float, profile: str = "minimal") -> DataFrame:
     """(qid, population or density, centroid, eig1, eig2) for each query point."""
     pairs = radius_join(query, resample(search, edge, ties=TIES[profile]), radius, **RULES[profile])
-    grouped = G.attach(query, pairs.groupBy("qid").agg(*G.neighborhood_sums(pairs), *G.registered_sums(radius)))
+    grouped = G.every_point(query, pairs).groupBy("qid").agg(*G.neighborhood_sums(pairs))
+    if G.REGISTERED:  # any aggregate, which null rows might change
+        grouped = grouped.join(pairs.groupBy("qid").agg(*G.registered_sums(radius)), "qid", "left")
     first = G.population().alias("population") if profile == "minimal" else G.density(radius).alias("density")
     rows = G.with_pca(grouped, ("eig1", "eig2", "eig3"))
     return rows.select("qid", first, G.centroid_distance().alias("centroid"), "eig1", "eig2", *G.REGISTERED)
@@ -45,12 +47,14 @@ def multiscale(query: DataFrame, search: DataFrame, edges: list[float], radii: l
     sides = [(resample(search, edge, low, TIES[profile]), radius) for edge, radius in zip(edges, radii)]
     pairs = scales_join(query, sides, **RULES[profile])
     own = [c for k, r in enumerate(radii) for c in G.registered_sums(r, f"s{k}_")]
-    rows = G.with_pca(pairs.groupBy("qid", "scale").agg(*G.neighborhood_sums(pairs), *own), ("eig1", "eig2", "eig3"))
+    kept = pairs if own else G.every_point(query, pairs)  # null rows might change aggregates of one's own
+    rows = G.with_pca(kept.groupBy("qid", "scale").agg(*G.neighborhood_sums(pairs), *own), ("eig1", "eig2", "eig3"))
     rows = rows.withColumns({"centroid": G.centroid_distance(), "population": G.population()})
     last = ["population", "centroid", "eig1", "eig2"]
     wide = {f"s{k}_{c}": F.max(F.when(F.col("scale") == k, F.col(c))) for k in range(len(radii)) for c in last}
     wide |= {f"s{k}_{c}": F.max(F.when(F.col("scale") == k, F.col(f"s{k}_{c}"))) for k in range(len(radii)) for c in G.REGISTERED}
-    grouped = G.attach(query, rows.groupBy("qid").agg(*(v.alias(k) for k, v in wide.items())))
+    grouped = rows.groupBy("qid").agg(*(v.alias(k) for k, v in wide.items()))
+    grouped = G.attach(query, grouped) if own else grouped
     out = []
     for k, r in enumerate(radii):
         n = F.coalesce(F.col(f"s{k}_population"), F.lit(0)).cast("long")
@@ -73,7 +77,7 @@ def multi_radius(query: DataFrame, search: DataFrame, edge: float, radii: list[f
     sums = []
     for k, within in enumerate(inside):
         sums += G.neighborhood_sums(pairs, within, f"s{k}_")
-    rows = G.attach(query, pairs.groupBy("qid").agg(*sums))
+    rows = G.every_point(query, pairs).groupBy("qid").agg(*sums)
     if G.REGISTERED:  # any aggregate, so that only a filter before it restricts it to a radius
         for k, (r, within) in enumerate(zip(radii, inside)):
             rows = rows.join(pairs.where(within).groupBy("qid").agg(*G.registered_sums(r, f"s{k}_")), "qid", "left")
@@ -113,7 +117,7 @@ def vector_multiscale(query: DataFrame, search: DataFrame, columns: list[str], e
     pairs = radius_join(query, search, radii[0], inclusive=False, carry=tuple(columns))
     d2 = squared_norm(*(F.col(f"d{c}") for c in XYZ))
     named = {f"s{k}_{c}": F.avg(F.when(d2 < r * r, F.col(c))) for k, r in enumerate(radii) for c in columns}
-    grouped = G.attach(query, pairs.groupBy("qid").agg(*(v.alias(k) for k, v in named.items())))
+    grouped = G.every_point(query, pairs).groupBy("qid").agg(*(v.alias(k) for k, v in named.items()))
     return grouped.select("qid", *(F.coalesce(F.col(k), F.lit(0.0)).alias(k) for k in named))
 
 

@@ -236,7 +236,7 @@ _ONE = P + f", {_voxels(EDGE)}, {_pairs(RADIUS)}, {_GROUPED}"
 def _grouped(spark, sf_dir):
     points = emb(spark, sf_dir)
     pairs = radius_join(points, V.unique_voxels(points, EDGE), RADIUS)
-    return G.attach(points, pairs.groupBy("qid").agg(*G.neighborhood_sums(pairs)))
+    return G.every_point(points, pairs).groupBy("qid").agg(*G.neighborhood_sums(pairs))
 
 
 @register(_ONE + " SELECT p.id AS qid, coalesce(n, 0) AS population FROM p LEFT JOIN g ON p.id = qid")

@@ -268,6 +268,16 @@ def test_refit_without_scales_and_leaf_embedding(blobs):
     assert nb.transform(as_features(blobs)).where("prediction = label").count() > 220
 
 
+def test_hinge_loss_with_l1(spark, blobs):
+    noisy = blobs.withColumn("feats", F.concat("feats", F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.pmod(F.xxhash64("id", i), F.lit(100)) / 100.0)))
+    plain = make_classifier("sgd").fit(as_features(noisy))
+    sparse = make_classifier("sgd", regParam=0.05, elasticNetParam=1.0).fit(as_features(noisy.repartition(5)))
+    assert all(m.transform(as_features(noisy)).where("prediction = label").count() > 225 for m in (plain, sparse))
+    assert (sparse.weights[4:] == 0).mean() > 0.8 > (plain.weights[4:] == 0).mean()
+    assert make_classifier("sgd", loss="log").fit(as_features(blobs)).transform(as_features(blobs)).where("prediction = label").count() > 225
+    assert workflow.apply_model(plain, noisy).where("prob = 1").count() == 240
+
+
 def test_extremely_randomised_trees(spark, blobs):
     from cairn.ml.extra import ExtraTrees, grow
 
