@@ -109,7 +109,10 @@ def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int
     """
     everything = np.concatenate([positives, unlabelled]).astype(np.float64)
     mean, scale = unlabelled.mean(0, dtype=np.float64), 1 / (unlabelled.std(0, dtype=np.float64) + 1e-3)
-    z = np.clip((everything - mean) * scale, -6, 6)
+    z = everything  # in place: this is most of what the driver holds
+    z -= mean
+    z *= scale
+    np.clip(z, -6, 6, out=z)
     n_p, n_u, turned = len(positives), len(unlabelled), 0
     rng = np.random.default_rng(seed)
     params = [rng.normal(0, np.sqrt(1 / z.shape[1]), (z.shape[1], hidden)), np.zeros(hidden), rng.normal(0, np.sqrt(1 / hidden), hidden), np.zeros(1)]
