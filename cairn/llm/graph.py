@@ -21,7 +21,8 @@ def components(edges: DataFrame) -> DataFrame:
     """edges(a long, b long) -> (node, label): the smallest node of each component, for nodes with an edge.
 
     Large-star then small-star per round: the edge count never grows beyond its start and the number of rounds is
-    logarithmic in the component's diameter. Each round is cut off by a table in the shared folder. No edges: no rows.
+    logarithmic in the component's diameter. Each round is cut off by a table in the shared folder, and so is the result,
+    which can be discarded. No edges: no rows.
     """
     edges = stash(edges.where("a <> b").select("a", "b").distinct())
     state = _state(edges)
@@ -39,4 +40,6 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before:
             break
     stars = edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("label"))
-    return stars.union(stars.select(F.col("label").alias("node"), "label").distinct())
+    labels = stash(stars.union(stars.select(F.col("label").alias("node"), "label").distinct()))
+    discard(edges)
+    return labels

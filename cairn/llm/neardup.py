@@ -145,7 +145,7 @@ def _remaining_links(member: DataFrame, labels: DataFrame, edges: DataFrame, rep
         if found.isEmpty():
             return edges, labels
         edges = edges.union(found)
-        return edges, C.stash(components(edges))
+        return edges, components(edges)
 
     def meet(rows: DataFrame, on: str) -> DataFrame:
         """Pairs of rows(on, node, n) with the same value of on, of different components and near in size."""
@@ -201,15 +201,16 @@ def _classes(docs: DataFrame, k: int, percent: int, rows: int, bands: int | None
     sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), reps, docs, k)
     edges = C.stash(_verify(pairs, sets, percent))
     C.discard(sets, pairs)
-    labels = C.stash(components(edges))
+    labels = components(edges)
     labels = _remaining_links(member, labels, edges, reps, docs, k, percent)
     node = reps.select(*same, "node", "first_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = node.groupBy("label").agg(F.min("first_id").alias("component_id"))
     node = node.join(smallest, "label").select(*same, "label", "component_id")
-    out = C.stash(sig.select("rk", "doc_id", *same).where("n > 0 and doc_id is not null").join(node, same).select("rk", "doc_id", "n", "label", "component_id"))
-    C.discard(member, edges)
+    out = sig.select("rk", "doc_id", *same).where("n > 0 and doc_id is not null").join(node, same).select("rk", "doc_id", "n", "label", "component_id")
     none = F.lit(None).cast("long")
-    return out.union(sig.where("n = 0 or doc_id is null").select("rk", "doc_id", "n", none, F.when(F.col("n") == 0, F.col("doc_id"))))
+    out = C.stash(out.union(sig.where("n = 0 or doc_id is null").select("rk", "doc_id", "n", none, F.when(F.col("n") == 0, F.col("doc_id")))))
+    C.discard(sig, reps, member, edges, labels)
+    return out
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = ROWS_PER_BAND, bands: int | None = None) -> DataFrame:
@@ -225,7 +226,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     component_id is null and kept is true. Rows that repeat a doc_id each count as a document. Texts of any length are
     read whole; other columns are ignored; empty tables give no rows. Sets are held equal by 128 bits and their size.
     """
-    found = _classes(numbered(docs.select("doc_id", "text")), k, percent, rows, bands)
+    each = numbered(docs.select("doc_id", "text"))
+    found = _classes(each, k, percent, rows, bands)
+    C.discard(each)
     kept = F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept")
     return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept)
 
@@ -242,4 +245,5 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
     group = found.where("label is not null and doc_id = component_id").groupBy("label").agg(F.min("rk").alias(mark)).select(mark)
     alone = found.where("label is null").select(F.col("rk").alias(mark))
     stay = C.stash(group.union(alone))
+    C.discard(found)
     return rows.join(C.small(stay), mark, "left_semi").drop(mark)
