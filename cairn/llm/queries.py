@@ -207,6 +207,36 @@ SELECT doc_id, CAST(coalesce(sets.n, 0) AS BIGINT) AS n_shingles, coalesce(compo
 FROM d LEFT JOIN sets USING (doc_id) LEFT JOIN rep USING (k, n) LEFT JOIN part ON part.a = rep.id
 """
 
+#: Windows that hold a shingle of an item, for pairs that share enough of them; similarity by multisets of shingles.
+DECONTAMINATION_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{license.UPPER}', '{license.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+),
+i0 AS (
+  SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(coalesce(text, ''), '{license.UPPER}', '{license.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+),
+i AS (SELECT q, item_id, w, least(5, len(w)) AS k, len(w) - least(5, len(w)) + 1 AS m FROM i0 WHERE len(w) > 0),
+ix AS (SELECT q, k, array_to_string(list_slice(w, p + 1, p + k), ' ') AS x FROM (SELECT q, w, k, unnest(range(m)) AS p FROM i)),
+ic AS (SELECT q, k, x, count(*) AS c FROM ix GROUP BY ALL),
+dx AS (
+  SELECT r, k, n, p, array_to_string(list_slice(w, p + 1, p + k), ' ') AS x
+  FROM (SELECT r, w, k, len(w) - k + 1 AS n, unnest(range(len(w) - k + 1)) AS p FROM d, (SELECT DISTINCT k FROM i) WHERE len(w) >= k)
+),
+hit AS (SELECT r, q, p, x, c, n, m, least(n, m) AS size FROM dx JOIN ic USING (k, x) JOIN (SELECT q, m FROM i) USING (q)),
+pair AS (SELECT r, q FROM hit GROUP BY r, q, m HAVING 100 * count(*) >= 80 * m),
+near AS (SELECT * FROM hit SEMI JOIN pair USING (r, q)),
+start AS (SELECT DISTINCT r, q, s FROM (SELECT r, q, unnest(range(greatest(p - size + 1, 0), least(p, n - size) + 1)) AS s FROM near)),
+held AS (SELECT t.r, t.q, t.s, x, c, m, size, count(*) AS own FROM start t JOIN near h ON h.r = t.r AND h.q = t.q AND p >= t.s AND p < t.s + size GROUP BY ALL),
+sums AS (SELECT r, q, s, m, size, CAST(sum(least(own, c)) AS BIGINT) AS b FROM held GROUP BY ALL),
+found AS (
+  SELECT r, item_id, CAST(b AS DOUBLE) / (size + m - b) AS similarity, s, size + k - 1 AS n_words FROM sums JOIN (SELECT q, item_id, k FROM i) USING (q) WHERE 100 * b >= 80 * (size + m - b)
+),
+best AS (SELECT *, row_number() OVER (PARTITION BY r, item_id ORDER BY similarity DESC, s) AS place FROM found)
+SELECT doc_id, item_id, similarity, CAST(s AS BIGINT) AS first_word, CAST(n_words AS BIGINT) AS n_words FROM best JOIN d USING (r) WHERE place = 1
+"""
+
 SUBSTRING_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 v AS (SELECT r, s, array_to_string(list_slice(w, s, s + 34), ' ') AS k FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS s FROM d WHERE len(w) >= 35)),
@@ -223,6 +253,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_topk": TOPK_SQL,
         "op3_sharding": SHARDING_SQL,
+        "op4_decontamination": DECONTAMINATION_SQL,
         "op5_license": license_sql(),
         "op6_mixing": MIXING_SQL,
         "op9_neardup": NEARDUP_SQL,
