@@ -39,7 +39,7 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = sql.strip().replace("round(", f"round({TIE} + ")
+            SQL[f.__name__] = sql.strip().replace("round(", f"round({TIE} + ").replace(f"{TIE} + {TIE} + ", f"{TIE} + ")  # once, also in the SQL of another query
         return f
 
     return add
@@ -372,12 +372,12 @@ def eigenvector_residuals(spark, sf_dir):
 _SKIP = "s AS (SELECT id, label FROM p WHERE label < 5 UNION ALL SELECT id, NULL FROM (SELECT id, row_number() OVER (ORDER BY (id % 2147483647 * 48271 + 5) % 2147483647, id) AS r, count(*) OVER () AS n FROM p WHERE label >= 5) WHERE r <= n // 3)"
 
 
-def _archive(spark, sf_dir, kind, **how):
+def _archive(spark, sf_dir, kind, feats=None, **how):
     """The features of a stored set: points of labels 0 to 4 are labelled, a third of the others takes part."""
     store = CloudStore(spark, scratch(spark))
     points = emb(spark, sf_dir)
     store.ingest(points.select("id", *XYZ))
-    store.add_set("all", points.select("id", F.when(F.col("label") < 5, F.col("label")).alias("label"), "feats"))
+    store.add_set("all", points.select("id", F.when(F.col("label") < 5, F.col("label")).alias("label"), F.col("feats") if feats is None else feats.alias("feats")))
     return archive_features(store, "all", [(EDGE, list(RADII))], kind, skip=3, seed=5, save_as="features", **how)
 
 
@@ -450,6 +450,13 @@ def vector_multiscale(spark, sf_dir):
     return rounded(df, *df.columns[1:])
 
 
+@register("WITH a AS (" + SQL["vector_multiscale"] + f"), c AS ({_SAMPLE}) SELECT c.id, c.label, a.* EXCLUDE (qid) FROM c JOIN a ON a.qid = c.id")
+def archive_features_vector(spark, sf_dir):
+    df = _archive(spark, sf_dir, "vector", F.array(*(F.col("feats")[i + 3] for i in range(len(_VALUES)))), columns=len(_VALUES))
+    names = [f"s{k}_{c}" for k in range(len(RADII)) for c in _VALUES]
+    return df.select("id", "label", *(_r(F.col("feats")[i]).alias(n) for i, n in enumerate(names)))
+
+
 # Projections, regions, partitions
 
 
