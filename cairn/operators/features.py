@@ -61,6 +61,12 @@ def centroid_distance(prefix: str = "") -> Column:
     return F.coalesce(F.sqrt(squared_norm(*(F.col(f"{prefix}m{c}") for c in XYZ))), F.lit(0.0))
 
 
+def signed_z_offset() -> Column:
+    """Aggregate over a neighbourhood: the offset dz of largest size with its sign, ties to the positive one; none: 0."""
+    top, low = F.max("dz"), F.min("dz")
+    return F.coalesce(F.when(top >= -low, top).otherwise(low), F.lit(0.0))
+
+
 def covariance(a: str, b: str, prefix: str = "", scatter: bool = False) -> Column:
     """Sample covariance, or the scatter sum; fewer than two neighbours: 0."""
     value = F.col(f"{prefix}c{a}{b}")

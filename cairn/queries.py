@@ -18,6 +18,7 @@ from cairn.operators.neighbors import distance_matrix, radius_join
 from cairn.plans import multiscale as M
 from cairn.plans.archive import archive_features
 from cairn.plans.materialize import scratch
+from cairn.sources.readers import export_colored, read_text
 from cairn.sources.store import CloudStore
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -259,6 +260,13 @@ def covariance(spark, sf_dir):
     return _grouped(spark, sf_dir).select("qid", *(_r(G.covariance(a, b) * 1000).alias(f"cov_{a}{b}") for a, b in UPPER))
 
 
+@register(P + f", {_voxels(EDGE)}, {_pairs(RADIUS)}, g AS (SELECT qid, max(dz) AS top, min(dz) AS low FROM n GROUP BY qid) SELECT p.id AS qid, round(coalesce(CASE WHEN top >= -low THEN top ELSE low END, 0), 6) + 0.0 AS offset_z FROM p LEFT JOIN g ON p.id = qid")
+def signed_z_offset(spark, sf_dir):
+    points = emb(spark, sf_dir)
+    pairs = radius_join(points, V.unique_voxels(points, EDGE), RADIUS)
+    return rounded(G.every_point(points, pairs).groupBy("qid").agg(G.signed_z_offset().alias("offset_z")), "offset_z")
+
+
 @register(_ONE + f", {_eigen()} SELECT qid, round(w1, 6) AS eig1, round(w2, 6) AS eig2, round(w3, 6) + 0.0 AS eig3 FROM w")
 def pca_eigenvalues(spark, sf_dir):
     return rounded(G.with_pca(_grouped(spark, sf_dir), ("eig1", "eig2", "eig3")).select("qid", "eig1", "eig2", "eig3"), "eig1", "eig2", "eig3")
@@ -473,6 +481,12 @@ _BOX = ((-0.1, -0.1, -0.1), (0.1, 0.1, 0.1))
 _IN = "x {a} {lo} AND x {b} {hi} AND y {a} {lo} AND y {b} {hi} AND z {a} {lo} AND z {b} {hi}"
 
 
+@register("SELECT vec_id AS id FROM embeddings")
+def checked_points(spark, sf_dir):
+    points = emb(spark, sf_dir)
+    return V.VoxelGrid.fit(points, EDGE).check_bounds(points).select("id")
+
+
 @register(P + f" SELECT id FROM p WHERE {_IN.format(a='>', b='<', lo=-0.1, hi=0.1)}")
 def box_filter(spark, sf_dir):
     return emb(spark, sf_dir).where(regions.in_box(*_BOX, bounds="open")).select("id")
@@ -648,6 +662,30 @@ def unique_first(spark, sf_dir):
     return A.unique_first(li.select(F.col("l_orderkey").alias("id"), pos.alias("pos"), F.col("l_extendedprice").alias("value")))
 
 
+# Stored and written clouds
+
+
+@register("SELECT 'all' AS tag, count(*) AS n, TRUE AS has_labels, FALSE AS has_clusters, CAST(max(len(embedding)) AS INTEGER) AS n_features FROM embeddings UNION ALL SELECT 'unlabelled', count(*), FALSE, FALSE, 0 FROM embeddings")
+def store_sets(spark, sf_dir):
+    """What a store tells about two sets of one cloud."""
+    store = CloudStore(spark, scratch(spark))
+    points = emb(spark, sf_dir)
+    store.ingest(points.select("id", *XYZ))
+    store.add_set("all", points.select("id", "label", "feats"))
+    store.add_set("unlabelled", points.select("id"))
+    return store.describe_sets()
+
+
+@register("SELECT l_orderkey AS id, arg_min(l_quantity, pos) AS f0, arg_min(l_extendedprice, pos) AS f1 FROM (SELECT *, l_linenumber * 10000000 + l_partkey * 1000 + l_suppkey AS pos FROM lineitem) GROUP BY l_orderkey")
+def stored_set(spark, sf_dir):
+    """A set of repeated ids, written and read again: the row of the smallest pos of each id."""
+    li = _read(spark, sf_dir, "lineitem")
+    pos = F.col("l_linenumber") * F.lit(10000000).cast("long") + F.col("l_partkey") * 1000 + F.col("l_suppkey")
+    store = CloudStore(spark, scratch(spark))
+    store.add_set("items", li.select(F.col("l_orderkey").alias("id"), pos.alias("pos"), F.array(F.col("l_quantity").cast("double"), F.col("l_extendedprice").cast("double")).alias("feats")))
+    return store.feats("items").select("id", F.col("feats")[0].alias("f0"), F.col("feats")[1].alias("f1"))
+
+
 # Sampling
 
 
@@ -660,6 +698,17 @@ def balanced_split(spark, sf_dir):
     return sampling.balanced_split(emb(spark, sf_dir).select("id", "label"), 7)
 
 
+@register(P + ", r AS (" + _RANK.format(seed=7, t="p") + "), m AS (SELECT min(c) AS n FROM (SELECT count(*) AS c FROM p GROUP BY label)) SELECT id, label FROM r, m WHERE r < n")
+def balanced_train(spark, sf_dir):
+    """The one fold of a training without validation."""
+    return sampling.balanced_split(emb(spark, sf_dir).select("id", "label"), 7, folds=1).select("id", "label")
+
+
+@register(P + ", r AS (" + _RANK.format(seed=9, t="p") + "), m AS (SELECT min(c) // 10 AS n FROM (SELECT count(*) AS c FROM p GROUP BY label)) SELECT id, label, CAST(r // n AS INTEGER) AS tree FROM r, m WHERE r < 10 * n")
+def tree_samples(spark, sf_dir):
+    return sampling.disjoint_balanced(emb(spark, sf_dir).select("id", "label"), 10, 9)
+
+
 @register(P + ", r AS (" + _RANK.format(seed=7, t="p") + ") SELECT id, label, CASE WHEN r < 5 * (label + 1) THEN 0 ELSE 1 END AS fold FROM r WHERE label < 2 AND r < 5 * (label + 1) + 4")
 def sized_split(spark, sf_dir):
     return sampling.sized_split(emb(spark, sf_dir).select("id", "label"), {0: (5, 4), 1: (10, 4)}, 7)
@@ -779,6 +828,15 @@ def color_class(spark, sf_dir):
     return color.color_by_class(emb(spark, sf_dir)).select("id", "r", "g", "b")
 
 
+@register(f"SELECT round(CAST(embedding[1] AS DOUBLE), 3) + 0.0 AS x, round(CAST(embedding[2] AS DOUBLE), 3) + 0.0 AS y, round(CAST(embedding[3] AS DOUBLE), 3) + 0.0 AS z, CAST(r AS DOUBLE) AS r, CAST(g AS DOUBLE) AS g, CAST(b AS DOUBLE) AS b FROM embeddings JOIN {_TABLE} ON label = l")
+def colored_text(spark, sf_dir):
+    """Points written as coloured text and read again."""
+    path = scratch(spark)
+    export_colored(color.color_by_class(emb(spark, sf_dir)), path)
+    back = read_text(spark, path, ",", 6)
+    return rounded(back.select(*XYZ, *(F.col("feats")[i].alias(c) for i, c in enumerate("rgb"))), *XYZ, places=3)
+
+
 @register()
 def forest_confusion(spark, sf_dir):
     """Train on one balanced fold of the embeddings, validate on the other."""
@@ -794,6 +852,44 @@ def factor_scores(spark, sf_dir):
     return factor_analysis(emb(spark, sf_dir).select("id", "feats"), 64, 4)
 
 
+@register(
+    "WITH e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), d AS (SELECT q.id, t.label, row_number() OVER (PARTITION BY q.id ORDER BY list_sum(list_transform(range(1, len(q.v) + 1), lambda i: (t.v[i] - q.v[i]) * (t.v[i] - q.v[i]))), t.id) AS r FROM e q JOIN e t ON t.label IS NOT NULL), "
+    "c AS (SELECT id, label, count(*) AS n FROM d WHERE r <= 5 GROUP BY ALL) SELECT id, label FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, label) AS r FROM c) WHERE r = 1"
+)
+def knn_labels(spark, sf_dir):
+    """Each embedding by the labels of its five nearest ones, itself included."""
+    from cairn.ml.classify import knn
+
+    points = emb(spark, sf_dir)
+    return knn(points.select("id", "label", "feats"), points.select("id", "feats"))
+
+
+@register("WITH s AS (SELECT i, avg(CAST(embedding[i] AS DOUBLE)) AS a, stddev_samp(CAST(embedding[i] AS DOUBLE)) AS d FROM embeddings, range(1, 65) t(i) GROUP BY i) SELECT vec_id AS id, CAST(i - 1 AS INTEGER) AS feature, round((CAST(embedding[i] AS DOUBLE) - a) / d, 6) + 0.0 AS value FROM embeddings, s")
+def scaled_features(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
+
+    from cairn.ml.classify import as_features, scaler
+
+    rows = as_features(emb(spark, sf_dir).select("id", "feats"))
+    scaled = scaler().fit(rows).transform(rows)
+    return rounded(scaled.select("id", F.posexplode(vector_to_array("scaled")).alias("feature", "value")), "value")
+
+
+@register()
+def embedding_plane(spark, sf_dir):
+    """The embeddings of all labels in the plane: a balanced sample of the operator's default size."""
+    from cairn.ml.embed import embed_plane
+
+    return embed_plane(emb(spark, sf_dir).select("id", "label", "feats"))
+
+
+@register()
+def nystroem_features(spark, sf_dir):
+    from cairn.ml.kernels import nystroem
+
+    return nystroem(emb(spark, sf_dir).select("id", "feats"))
+
+
 @register()
 def fourier_features(spark, sf_dir):
     from cairn.ml.kernels import random_fourier

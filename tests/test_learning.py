@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cairn.ml import kernels, rpt
 from cairn.ml.classify import as_features, importance_by_scale, knn, make_classifier
+from cairn.ml.embed import affinities, embed_plane, tsne
 from cairn.operators import assets as A
 from cairn.operators import color, metrics, sampling
 from cairn.plans import workflow
@@ -313,6 +314,44 @@ def test_knn_matches_brute_force(spark, block):
     assert knn(df.limit(0), df).count() == 0
 
 
+@pytest.mark.parametrize("init", ["pca", "random"])
+def test_groups_stay_together_in_the_plane(init):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 0.3, (40, 5)) + 4 * np.eye(5)[k] for k in range(3)])
+    y = tsne(x, perplexity=10, steps=400, init=init)
+    assert np.array_equal(y, tsne(x, perplexity=10, steps=400, init=init))
+    d = np.linalg.norm(y[:, None] - y[None], axis=2)
+    np.fill_diagonal(d, np.inf)
+    assert (d.argmin(1) // 40 == np.arange(120) // 40).mean() > 0.95
+
+
+def test_affinities_have_the_perplexity_that_is_asked_for():
+    x = np.random.default_rng(4).normal(size=(60, 3))
+    x[50:] = x[49]  # equal rows
+    p = affinities(x, 8.0)
+    assert np.allclose(p, p.T) and abs(p.sum() - 1) < 1e-6
+    d2 = ((x[:1] - x[1:50]) ** 2).sum(1)
+    near = np.argsort(d2)[:20]
+    assert p[0, 1 + near[0]] > p[0, 1 + near[-1]]
+
+
+def test_plane_of_odd_sets(spark, blobs):
+    for n in (0, 1):
+        assert np.array_equal(tsne(np.ones((n, 3))), np.zeros((n, 2)))
+    assert not tsne(np.ones((5, 3))).any() and np.isfinite(tsne(np.array([[0.0], [1.0], [5.0]]), steps=50)).all()
+    with pytest.raises(ValueError):
+        tsne(np.ones((3, 2)), init="other")
+    assert embed_plane(blobs.limit(0)).count() == 0
+    some = embed_plane(blobs, {0: 6, 2: 3}, steps=20)
+    assert {r.label: r["count"] for r in some.groupBy("label").count().collect()} == {0: 6, 2: 3}
+    even = embed_plane(blobs, rows=12, steps=20)
+    assert {r.label: r["count"] for r in even.groupBy("label").count().collect()} == {0: 4, 1: 4, 2: 4}
+    with pytest.raises(ValueError):
+        embed_plane(blobs, {0: 13}, rows=12)
+    odd = spark.createDataFrame([(1, 0, [float("nan"), 1.0]), (2, 0, [None, 2.0]), (3, 1, [1.0, 5.0]), (4, 1, [2.0, 1.0]), (5, None, [0.0, 0.0])], "id long, label int, feats array<double>")
+    assert embed_plane(odd, steps=20).where("x is not null and not isnan(x)").count() == 4
+
+
 def test_formatted_metrics(spark):
     conf = spark.createDataFrame([(0, 0, 3), (0, 1, 1), (1, 0, 1), (1, 1, 3)], "assigned int, known int, n long")
     assert metrics.format_three(metrics.three_metrics(conf)).splitlines()[0].split() == ["0", "75.00", "25.00", "25.00"]
