@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -18,9 +19,13 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 400_000
 #: Bytes of text that the vectorised kernels hold at a time.
 CHUNK_BYTES = 2_000_000
+#: Seconds between collections on a single machine at least.
+COLLECT_SECONDS = 10.0
 #: Distinct words whose hashes a worker remembers before it starts afresh.
 MEMO_WORDS = 300_000
 
+_collected = float("-inf")
+
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2, _S33 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33)
 
@@ -46,15 +51,19 @@ def stash(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and returns a reader of it: lineage ends there and lost executors lose nothing.
 
     What earlier steps shuffled is garbage from then on. Spark's cleaner deletes those files only once the driver's JVM has
-    collected their handles, which Python's may still hold, and a driver with memory to spare would not for hours.
+    collected their handles, which Python's may still hold, and a driver with memory to spare would not for hours. On a
+    single machine, where small steps follow each other quickly, that happens every COLLECT_SECONDS at most.
     """
+    global _collected
     spark = df.sparkSession
     path = scratch(spark)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
-    gc.collect()
-    spark._jvm.System.gc()
+    if not spark.sparkContext.master.startswith("local[") or time.monotonic() - _collected >= COLLECT_SECONDS:
+        gc.collect()
+        spark._jvm.System.gc()
+        _collected = time.monotonic()
     return out
 
 
