@@ -87,25 +87,26 @@ def _vectors(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.
     for value, (i, j) in zip((xx, xy, xz, yy, yz, zz), ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))):
         m[:, i, j] = m[:, j, i] = np.nan_to_num(value.to_numpy(float))
     w, v = np.linalg.eigh(m)
-    out = np.zeros((len(m), 4))
+    out = np.zeros((len(m), 6))
     for k in (0, 1):
         vec = v[:, :, 2 - k]
         big = np.take_along_axis(vec, np.abs(vec).argmax(1)[:, None], 1)
         vec = vec * np.where(big < 0, -1.0, 1.0)
         vec[w.sum(1) <= 0] = 0.0
         out[:, 2 * k : 2 * k + 2] = vec[:, :2]
-    return pd.DataFrame(out, columns=list("abcd"))
+        out[:, 4 + k] = vec[:, 2]
+    return pd.DataFrame(out, columns=list("abcdef"))
 
 
-def with_eigenvectors(df: DataFrame, prefix: str = "", names: tuple[str, str, str, str] = ("v1x", "v1y", "v2x", "v2y")) -> DataFrame:
-    """Adds the x and y parts of the eigenvectors of the two largest eigenvalues.
+def with_eigenvectors(df: DataFrame, prefix: str = "", names: tuple[str, ...] = ("v1x", "v1y", "v2x", "v2y")) -> DataFrame:
+    """Adds the x and y parts of the eigenvectors of the two largest eigenvalues; a fifth and sixth name: their z parts.
 
     The sign is the one that makes the component of largest size positive; undefined: zeros. Batches of matrices go
     through numpy in one call each.
     """
-    udf = F.pandas_udf(_vectors, "a double, b double, c double, d double")
+    udf = F.pandas_udf(_vectors, "a double, b double, c double, d double, e double, f double")
     df = df.withColumn("_v", udf(*(covariance(a, b, prefix) for a, b in UPPER)))
-    return df.withColumns({n: F.col(f"_v.{k}") for n, k in zip(names, "abcd")}).drop("_v")
+    return df.withColumns({n: F.col(f"_v.{k}") for n, k in zip(names, "abcdef")}).drop("_v")
 
 
 def radius_mean(query: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFrame:

@@ -354,26 +354,25 @@ def eigenvector_features(spark, sf_dir):
 
 @register(P + f", {_voxels(EDGE)}, {_pairs(RADII[0], rule=_GPU.format(r=RADII[0]))}, {_GROUPED}, {_eigen()} SELECT p.id AS qid, coalesce(n >= 2 AND tr > 0, FALSE) AS defined, 0.0::DOUBLE AS residual1, 0.0::DOUBLE AS residual2, 0.0::DOUBLE AS dot FROM p LEFT JOIN w ON p.id = qid")
 def eigenvector_residuals(spark, sf_dir):
-    """Whether the vectors v of a neighbourhood's covariance m fulfil m v = w v for their eigenvalues w and are normal to
-    each other; the z parts, which are not returned, follow from unit length but for a sign."""
+    """Whether the vectors v of a neighbourhood's covariance m have unit length, fulfil m v = w v for their eigenvalues w
+    and are normal to each other. All three parts are the operator's own: where eigenvalues coincide, length and residual
+    leave the sign of the z part open."""
     points = emb(spark, sf_dir)
     pairs = radius_join(points, V.unique_voxels(points, EDGE, ties="even"), RADII[0], **M.RULES["gpu"])
     rows = G.attach(points, pairs.groupBy("qid").agg(*G.neighborhood_sums(pairs)))
-    rows = G.with_eigenvectors(G.with_pca(rows, ("w1", "w2", "w3")))
+    rows = G.with_eigenvectors(G.with_pca(rows, ("w1", "w2", "w3")), names=("v1x", "v1y", "v2x", "v2y", "v1z", "v2z"))
     cov = {f"{a}{b}": G.covariance(a, b) for a, b in UPPER}
     rows = rows.withColumns({f"k{k}": v for k, v in cov.items()}).withColumn("tr", F.col("kxx") + F.col("kyy") + F.col("kzz"))
 
-    def error(k: int, sign: int):
-        v = [F.col(f"v{k}x"), F.col(f"v{k}y"), sign * F.sqrt(F.greatest(1 - F.col(f"v{k}x") ** 2 - F.col(f"v{k}y") ** 2, F.lit(0.0)))]
+    def error(k: int):
+        v = [F.col(f"v{k}{c}") for c in XYZ]
         m = [("kxx", "kxy", "kxz"), ("kxy", "kyy", "kyz"), ("kxz", "kyz", "kzz")]
-        return F.sqrt(sum((sum(F.col(c) * x for c, x in zip(row, v)) - F.col(f"w{k}") * F.col("tr") * y) ** 2 for row, y in zip(m, v))) / F.col("tr")
-
-    def z(k: int):
-        return F.when(error(k, 1) <= error(k, -1), 1).otherwise(-1) * F.sqrt(F.greatest(1 - F.col(f"v{k}x") ** 2 - F.col(f"v{k}y") ** 2, F.lit(0.0)))
+        off = F.sqrt(sum((sum(F.col(c) * x for c, x in zip(row, v)) - F.col(f"w{k}") * F.col("tr") * y) ** 2 for row, y in zip(m, v))) / F.col("tr")
+        return F.greatest(off, F.abs(sum(x * x for x in v) - 1))
 
     known = (F.col("n") >= 2) & (F.col("tr") > 0)
-    dot = F.abs(F.col("v1x") * F.col("v2x") + F.col("v1y") * F.col("v2y") + z(1) * z(2))
-    out = {"residual1": F.least(error(1, 1), error(1, -1)), "residual2": F.least(error(2, 1), error(2, -1)), "dot": F.when(F.col("w2") > 0.001, dot)}
+    dot = F.abs(sum(F.col(f"v1{c}") * F.col(f"v2{c}") for c in XYZ))
+    out = {"residual1": error(1), "residual2": error(2), "dot": dot}
     return rows.select("qid", F.coalesce(known, F.lit(False)).alias("defined"), *(F.round(F.coalesce(F.when(known, v), F.lit(0.0)), 4).alias(c) for c, v in out.items()))
 
 
